@@ -159,8 +159,8 @@ def _overlap(a, b) -> float:
 def _verify(similar: float, batches):
     last: dict[int, tuple] = {}
     for b in batches:
-        ids, centres = b.column("a").to_numpy(zero_copy_only=False), b.column("b").to_numpy(zero_copy_only=False)
-        keep = np.zeros(len(ids), bool)
+        centres = b.column("b").to_numpy(zero_copy_only=False)
+        keep = np.zeros(len(centres), bool)
         texts = b.column("text_b")
         for i, buf, offs in W.each_slice(b.column("text_a"), 1 << 18):
             g, r, c = multiset(buf, offs)
@@ -178,9 +178,11 @@ def _verify(similar: float, batches):
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """The pairs (a, b) of ids whose texts are similar enough."""
-    left = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+    """The pairs (a, b) of ids whose texts are similar enough. Only texts that a pair asks for are moved."""
+    asked = pairs.select(F.col("a").alias("of")).unionByName(pairs.select(F.col("b").alias("of"))).distinct()
+    own = texts.join(asked, F.col("id") == F.col("of"), "left_semi")
+    left = pairs.join(own.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    both = left.join(own.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
     return both.mapInArrow(functools.partial(_verify, similar), "a long, b long")
 
 
@@ -189,8 +191,12 @@ def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(own, F.col("id") == F.col("of"), "left").withColumn("root", F.coalesce("root", "id")).drop("of")
 
 
-def _apart(shared: DataFrame, reps: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs that buckets with several components have still to be asked for."""
+def _apart(shared: DataFrame, reps: DataFrame, roots: DataFrame, tried: DataFrame) -> DataFrame:
+    """Pairs of buckets with several components that are still to be asked for.
+
+    In large buckets each text looks at its neighbours in other components, in the order of the other bands, and
+    names those two of them, over all of its buckets, that share most bands with it and weren't tried yet.
+    """
     rows = _rooted(shared, roots)
     split = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(F.col("key").alias("k"))
     rows = cut(rows.join(split, F.col("key") == F.col("k")).select("key", "band", "id", "n", "root"))
@@ -199,9 +205,14 @@ def _apart(shared: DataFrame, reps: DataFrame, roots: DataFrame) -> DataFrame:
     many = rows.where(F.col("n") > SMALL).join(reps.select(F.col("id").alias("of"), "bands"), F.col("id") == F.col("of"))
     turned = F.concat(F.expr("slice(bands, band + 2, 16)"), F.expr("slice(bands, 1, band + 1)"))
     w = Window.partitionBy("key").orderBy(turned, "id")
-    ahead = many.select("id", "root", F.array(*[F.lead(F.struct(F.col("id").alias("b"), F.col("root").alias("rb")), i).over(w) for i in range(1, NEAR + 1)]).alias("ahead"))
-    near = ahead.select("id", "root", F.explode("ahead").alias("x")).where("x.b is not null and x.rb <> root").select(F.col("id").alias("a"), F.col("x.b").alias("b"))
-    return pairs.unionByName(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    beside = [f(F.struct(F.col("id").alias("b"), F.col("root").alias("rb"), F.col("bands").alias("bb")), i).over(w) for i in range(1, NEAR + 1) for f in (F.lead, F.lag)]
+    near = many.select("id", "root", "bands", F.array(*beside).alias("beside"))
+    agree = lambda x: F.size(F.filter(F.zip_with("bands", x["bb"], lambda p, q: p == q), lambda e: e))
+    other = F.transform(F.filter("beside", lambda x: x.isNotNull() & (x["rb"] != F.col("root"))), lambda x: F.struct(x["b"].alias("b"), agree(x).alias("agree")))
+    near = near.select(F.col("id").alias("a"), F.explode(other).alias("x")).select("a", "x.b", "x.agree").distinct()
+    near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "agree", F.col("a").alias("by")).join(tried, ["a", "b"], "left_anti")
+    best = near.withColumn("place", F.row_number().over(Window.partitionBy("by").orderBy(F.desc("agree"), "a", "b"))).where("place <= 2").select("a", "b")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(tried, ["a", "b"], "left_anti").unionByName(best).distinct()
 
 
 def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -219,14 +230,17 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     named = reps.select(F.col("id").alias("of"), "copy").join(involved, F.col("of") == F.col("id"), "left_semi")
     texts = cut(own.withColumn("c", F.md5("text")).join(named, (F.col("id") == F.col("of")) & (F.col("c") == F.col("copy")), "left_semi").select("id", "text"))
     centre = shared.join(involved.select(F.col("id").alias("of"), "fame"), F.col("id") == F.col("of")).groupBy("key").agg(F.max_by("id", F.struct("fame", -F.col("id"))).alias("b")).select(F.col("key").alias("k"), "b")
-    pairs = shared.join(centre, F.col("key") == F.col("k")).where("id <> b").select(F.col("id").alias("a"), "b").distinct()
-    links = cut(verified(pairs, texts, similar))
+    pairs = shared.join(centre, F.col("key") == F.col("k")).where("id <> b").select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
+    tried = cut(pairs)
+    links = cut(verified(tried, texts, similar))
     while True:
-        roots = cut(components(links))
-        new = cut(verified(_apart(shared, reps, roots), texts, similar))
+        roots = components(links)
+        pairs = cut(_apart(shared, reps, roots, tried))
+        new = cut(verified(pairs, texts, similar))
         if not new.limit(1).count():
             break
-        links = links.unionByName(new)
+        links, tried = roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(new), tried.unionByName(pairs)
+    links = roots.select(F.col("id").alias("a"), F.col("root").alias("b"))
     # roots of texts; then rows of one text, and texts of one id, which repeated ids alone can bind further
     roots = components(links.unionByName(same)) if _repeats(signed) else _by_copy(signed, reps, roots)
     return _rooted(own.select("id"), roots).select("id", F.col("root").alias("class_id"))
