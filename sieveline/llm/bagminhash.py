@@ -194,8 +194,8 @@ def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
 def _apart(shared: DataFrame, reps: DataFrame, roots: DataFrame, tried: DataFrame) -> DataFrame:
     """Pairs of buckets with several components that are still to be asked for.
 
-    In large buckets each text looks at its neighbours in other components, in the order of the other bands, and
-    names those two of them, over all of its buckets, that share most bands with it and weren't tried yet.
+    In large buckets each text looks at its neighbours in other components, in the order of the other bands, takes
+    the two that share most bands with it, and names the best two over all of its buckets that weren't tried yet.
     """
     rows = _rooted(shared, roots)
     split = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(F.col("key").alias("k"))
@@ -208,7 +208,8 @@ def _apart(shared: DataFrame, reps: DataFrame, roots: DataFrame, tried: DataFram
     beside = [f(F.struct(F.col("id").alias("b"), F.col("root").alias("rb"), F.col("bands").alias("bb")), i).over(w) for i in range(1, NEAR + 1) for f in (F.lead, F.lag)]
     near = many.select("id", "root", "bands", F.array(*beside).alias("beside"))
     agree = lambda x: F.size(F.filter(F.zip_with("bands", x["bb"], lambda p, q: p == q), lambda e: e))
-    other = F.transform(F.filter("beside", lambda x: x.isNotNull() & (x["rb"] != F.col("root"))), lambda x: F.struct(x["b"].alias("b"), agree(x).alias("agree")))
+    other = F.transform(F.filter("beside", lambda x: x.isNotNull() & (x["rb"] != F.col("root"))), lambda x: F.struct(agree(x).alias("agree"), x["b"].alias("b")))
+    other = F.slice(F.sort_array(other, asc=False), 1, 2)
     near = near.select(F.col("id").alias("a"), F.explode(other).alias("x")).select("a", "x.b", "x.agree").distinct()
     near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "agree", F.col("a").alias("by")).join(tried, ["a", "b"], "left_anti")
     best = near.withColumn("place", F.row_number().over(Window.partitionBy("by").orderBy(F.desc("agree"), "a", "b"))).where("place <= 2").select("a", "b")
