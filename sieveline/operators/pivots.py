@@ -8,9 +8,15 @@ from pyspark.sql import functions as F
 from ..functions import detect
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Small tables come as one split; only those are dealt out to all cores before the patterns run."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.isStreaming or rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def mentions(passages: DataFrame, types: set[str] | None = None) -> DataFrame:
     """path, seq, pos, type, raw and normalized: all detectors in one pass over the texts."""
-    found = passages.select("path", "seq", F.posexplode(detect.mentions(F.col("text"), types)).alias("pos", "m"))
+    found = spread(passages).select("path", "seq", F.posexplode(detect.mentions(F.col("text"), types)).alias("pos", "m"))
     return found.select("path", "seq", "pos", "m.type", "m.raw", "m.normalized")
 
 
