@@ -7,9 +7,10 @@ So two texts agree on a register with the probability sum(min) / sum(max) of the
 repeated n times costs log n processes. Points come in order of time and stop where all registers are filled.
 
 Registers are banded. Exact copies count as one text. Within a bucket the member that is in the fullest buckets is
-the centre, and all others are verified against it, by their whole multisets; what stays apart is compared again:
-all pairs of different components in small buckets, and in larger ones the neighbours in the order of the other
-bands, until no further link is found. Links then give connected components, each with its smallest id as class.
+the centre, and all others are verified against it, by their whole multisets. Where components of a bucket stay
+apart, all pairs between them are verified in small buckets; in larger ones those that an exact prefix filter
+over the windows lets through, so no link within a bucket is lost and no bucket is expanded into all its pairs.
+Links then give connected components, each with its smallest id as class.
 
 Defined results: a text of one to four words is one window; texts without words have no window, and only exact
 copies of them share a class; a null text counts as empty; rows of one id are one document; a row without an id gets a
@@ -33,8 +34,8 @@ from .components import components
 K, SIMILAR = 5, 0.8
 #: Bands and registers in each. A pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8 ** 4) ** 16 = 0.9998.
 BANDS, ROWS = 16, 4
-#: Buckets of at most so many texts have all pairs of different components compared; larger ones so many neighbours.
-SMALL, NEAR = 24, 6
+#: Buckets of at most so many texts have all pairs of different components compared; larger ones are filtered by prefixes.
+SMALL = 24
 
 _G, _LEVEL, _REG = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -191,29 +192,55 @@ def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(own, F.col("id") == F.col("of"), "left").withColumn("root", F.coalesce("root", "id")).drop("of")
 
 
-def _apart(shared: DataFrame, reps: DataFrame, roots: DataFrame, tried: DataFrame) -> DataFrame:
-    """Pairs of buckets with several components that are still to be asked for.
-
-    In large buckets each text looks at its neighbours in other components, in the order of the other bands, takes
-    the two that share most bands with it, and names the best two over all of its buckets that weren't tried yet.
-    """
+def _split(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of buckets with several components: key, id, n, root."""
     rows = _rooted(shared, roots)
     split = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(F.col("key").alias("k"))
-    rows = cut(rows.join(split, F.col("key") == F.col("k")).select("key", "band", "id", "n", "root"))
+    return cut(rows.join(split, F.col("key") == F.col("k")).select("key", "id", "n", "root"))
+
+
+def _windows(batches):
+    for b in batches:
+        ids = b.column("id").to_numpy(zero_copy_only=False)
+        for i, buf, offs in W.each_slice(b.column("text"), 1 << 18):
+            g, r, c = multiset(buf, offs)
+            total = np.bincount(r, c, len(offs) - 1).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i + r]), pa.array(g.view(np.int64)), pa.array(c.astype(np.int64)), pa.array(total[r])], ["id", "gram", "weight", "total"])
+
+
+def _prefix_pairs(members: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
+    """All pairs of members (id, root) of different components that can be similar enough, by their rarest windows.
+
+    Windows have one order, by the number of members that have them, then by hash. In both texts of a pair the first
+    window that they share has little weight before it: what is before it is not shared. So the pair meets by that
+    window, in rows that say what is before it, and is kept if sizes and rest allow an overlap that is large enough.
+    """
+    grams = texts.join(members.select(F.col("id").alias("of")), F.col("id") == F.col("of"), "left_semi").mapInArrow(_windows, "id long, gram long, weight long, total long")
+    often = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("often")).where("often > 1").select(F.col("gram").alias("g"), "often")
+    order = Window.partitionBy("id").orderBy("often", "g")
+    # windows of one member alone come first in the order: they are what the others leave of the total
+    upto, known = F.sum("weight").over(order.rowsBetween(Window.unboundedPreceding, 0)), F.sum("weight").over(Window.partitionBy("id"))
+    rows = grams.join(often, F.col("gram") == F.col("g")).withColumn("rest", known - upto + F.col("weight")).where(F.col("rest") >= similar * F.col("total") - 1e-6)
+    rows = cut(rows.select("g", "rest", "total", F.col("id").alias("i")).join(members, F.col("i") == F.col("id")).select("g", "rest", "total", "id", "root"))
+    met = rows.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(F.col("g").alias("of"))
+    rows = rows.join(met, F.col("g") == F.col("of"), "left_semi")
+    log = F.log("total") / float(np.log(1 / similar))  # sizes of a pair differ by at most one step
+    small = rows.where(F.col("rest") >= 2 * similar / (1 + similar) * F.col("total") - 1e-6)
+    small = small.select("g", F.explode(F.sequence(F.floor(log - 1e-9), F.floor(log + 1 + 1e-9))).alias("step"), *[F.col(c).alias(f"{c}_a") for c in ("id", "root", "total", "rest")])
+    large = rows.select("g", F.floor(log).alias("step"), *[F.col(c).alias(f"{c}_b") for c in ("id", "root", "total", "rest")])
+    possible = (F.col("root_a") != F.col("root_b")) & (F.struct("total_a", "id_a") < F.struct("total_b", "id_b")) & (F.col("total_a") >= similar * F.col("total_b") - 1e-6)
+    enough = F.least("rest_a", "rest_b") >= similar / (1 + similar) * (F.col("total_a") + F.col("total_b")) - 1e-6
+    return small.join(large, ["g", "step"]).where(possible & enough).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
+
+
+def _apart(shared: DataFrame, texts: DataFrame, roots: DataFrame, tried: DataFrame, similar: float) -> DataFrame:
+    """All pairs (a, b) of different components that share a bucket and can be similar enough, but those tried."""
+    rows = _split(shared, roots)
     few = rows.where(F.col("n") <= SMALL)
-    pairs = few.select("key", F.col("id").alias("a"), F.col("root").alias("ra")).join(few.select("key", F.col("id").alias("b"), F.col("root").alias("rb")), "key").where("ra < rb").select("a", "b")
-    many = rows.where(F.col("n") > SMALL).join(reps.select(F.col("id").alias("of"), "bands"), F.col("id") == F.col("of"))
-    turned = F.concat(F.expr("slice(bands, band + 2, 16)"), F.expr("slice(bands, 1, band + 1)"))
-    w = Window.partitionBy("key").orderBy(turned, "id")
-    beside = [f(F.struct(F.col("id").alias("b"), F.col("root").alias("rb"), F.col("bands").alias("bb")), i).over(w) for i in range(1, NEAR + 1) for f in (F.lead, F.lag)]
-    near = many.select("id", "root", "bands", F.array(*beside).alias("beside"))
-    agree = lambda x: F.size(F.filter(F.zip_with("bands", x["bb"], lambda p, q: p == q), lambda e: e))
-    other = F.transform(F.filter("beside", lambda x: x.isNotNull() & (x["rb"] != F.col("root"))), lambda x: F.struct(agree(x).alias("agree"), x["b"].alias("b")))
-    other = F.slice(F.sort_array(other, asc=False), 1, 2)
-    near = near.select(F.col("id").alias("a"), F.explode(other).alias("x")).select("a", "x.b", "x.agree").distinct()
-    near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "agree", F.col("a").alias("by")).join(tried, ["a", "b"], "left_anti")
-    best = near.withColumn("place", F.row_number().over(Window.partitionBy("by").orderBy(F.desc("agree"), "a", "b"))).where("place <= 2").select("a", "b")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(tried, ["a", "b"], "left_anti").unionByName(best).distinct()
+    pairs = few.select("key", F.col("id").alias("a"), F.col("root").alias("ra")).join(few.select("key", F.col("id").alias("b"), F.col("root").alias("rb")), "key").where("ra < rb")
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    many = cut(rows.where(F.col("n") > SMALL).select("id", "root").distinct())
+    return pairs.unionByName(_prefix_pairs(many, texts, similar)).distinct().join(tried, ["a", "b"], "left_anti")
 
 
 def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -234,14 +261,13 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     pairs = shared.join(centre, F.col("key") == F.col("k")).where("id <> b").select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
     tried = cut(pairs)
     links = cut(verified(tried, texts, similar))
-    while True:
-        roots = components(links)
-        pairs = cut(_apart(shared, reps, roots, tried))
-        new = cut(verified(pairs, texts, similar))
-        if not new.limit(1).count():
-            break
-        links, tried = roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(new), tried.unionByName(pairs)
+    roots = components(links)
+    new = cut(verified(cut(_apart(shared, texts, roots, tried, similar)), texts, similar))
     links = roots.select(F.col("id").alias("a"), F.col("root").alias("b"))
+    if new.limit(1).count():
+        links = links.unionByName(new)
+        roots = components(links)
+        links = roots.select(F.col("id").alias("a"), F.col("root").alias("b"))
     # roots of texts; then rows of one text, and texts of one id, which repeated ids alone can bind further
     roots = components(links.unionByName(same)) if _repeats(signed) else _by_copy(signed, reps, roots)
     return _rooted(own.select("id"), roots).select("id", F.col("root").alias("class_id"))

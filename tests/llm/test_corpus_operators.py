@@ -302,6 +302,22 @@ def test_near_dedup_against_brute_force(spark):
     assert bagminhash.classes(empty(spark)).count() == 0
 
 
+def test_prefixes_lose_no_link(spark):
+    random.seed(12)
+    common = [f"c{i}" for i in range(40)]
+    data = []
+    for i in range(240):  # a passage that all share, and own words that some share; repeated windows and sizes of all kinds
+        own = [f"o{i % 60}x{j}" for j in range(random.choice([6, 14, 30, 60]))]
+        w = common[: random.choice([20, 40])] + own + (own if i % 7 == 0 else [])
+        for _ in range(random.choice([0, 1, 2, 3])):
+            w[random.randrange(len(w))] = f"v{i}"
+        data.append((i, " ".join(w), i % 5 if i < 40 else i))
+    rows = spark.createDataFrame(data, "id long, text string, root long")
+    got = {(r["a"], r["b"]) for r in bagminhash._prefix_pairs(rows.select("id", "root"), rows.select("id", "text"), 0.8).collect()}
+    want = {(a, b) for b, t, y in data for a, s, x in data[:b] if x != y and similarity(s, t) >= 0.8}
+    assert want and want <= got and len(got) < len(data) ** 2 / 8
+
+
 def test_components(spark):
     random.seed(9)
     links = [(i, i + 1) for i in range(0, 40)] + [(100, 200), (200, 150), (7, 7)]
