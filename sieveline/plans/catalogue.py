@@ -7,6 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import addresses as A
 from ..functions import checksums as C
 from ..functions import normalize as N
 from ..functions import vocabulary as V
@@ -308,3 +309,9 @@ def redacted_text(spark, d):
 def redacted_url(spark, d):
     own = table(spark, d, "pages").where("url not like '%ref=%'").withColumn("url", F.replace("url", F.lit("?utm_source="), F.lit("?token=")))
     return own.select("page_id", redact.redact_url(F.col("url")).alias("url"))
+
+
+@query()
+def proved_addresses(spark, d):
+    """Wallets, onion services and IPv6 addresses of all passages, with their counts."""
+    return A.addresses(passages(spark, d)).groupBy("path", "type", "normalized", "private").agg(F.count(F.lit(1)).alias("count"))

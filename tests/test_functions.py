@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from sieveline.functions import addresses as A
 from sieveline.functions import checksums as C
 from sieveline.functions import detect
 from sieveline.functions import normalize as N
@@ -68,3 +69,26 @@ def test_redact(spark):
     assert "abcdef123" not in got[0][0] and "secretpw" not in got[0][0] and "AKIA1234" not in got[0][0]
     assert got[1][0] == "clean" and got[2][0] is None
     assert redact.redact_text(got[0][0]) == got[0][0]
+
+
+ETH = "0x5aAeb6053F3E94C9b9A09f33669435E7Ef1BeAed"
+XMR = "44AFFq5kSiGBoZ4NMDwYtN18obc8AemS33DBLWs3H7otXft3XjrpDtQGv7SqSsaBYBb98uNbr2VBBEt7f2wfn3RVGQBEP3A"
+BCH = "bitcoincash:qpm2qsznhks23z7629mms6s4cwef74vcwvy22gdx6a"
+
+
+def test_keccak():
+    assert A.keccak256(b"").hex() == "c5d2460186f7233c927e7db2dcc703c0e500b653ca82273b7bfad8045d85a470"
+    assert A.keccak256(b"abc").hex() == "4e03657aea45a94fc7d47ba826c8d667c0d1e6e33a64a036ec44f58fa12d6c45"
+    assert len({A.keccak256(b"a" * n) for n in (135, 136, 137, 300)}) == 4
+
+
+def test_addresses(spark):
+    texts = [
+        f"pay {ETH} or {ETH.lower()} not {ETH.replace('aA', 'Aa')}", f"{XMR} {XMR[:-1]}B", f"{BCH} {BCH.partition(':')[2]} {BCH[:-1]}q {BCH.upper()}",
+        "1BvBMSEYstWetqTFn5Au4m4GFg7xJaNVN2, bc1qw508d6qejxtdg4y5r3zarvary0c5xw7kv8f3t4", "x 2001:db8:0:0:0:0:0:1 [2001:4860:4860::8888]:53 [1:2] y", "http://2gzyxa5ihm7nsggfxnu52rck2vv4rvmdlkiu3zzui5du4xyclen53wid.onion/a", "", None,
+    ]
+    got = A.addresses(spark.createDataFrame(list(enumerate(texts)), "type_ int, text string")).collect()
+    assert sorted(((r["type_"], r["type"], r["normalized"], r["private"]) for r in got), key=str) == sorted(
+        [(0, "eth", ETH.lower(), None)] * 2 + [(1, "xmr", XMR, None)] + [(2, "bch", BCH, None)] * 3
+        + [(3, "btc", "1BvBMSEYstWetqTFn5Au4m4GFg7xJaNVN2", None), (3, "btc", "bc1qw508d6qejxtdg4y5r3zarvary0c5xw7kv8f3t4", None), (4, "ipv6", "2001:db8::1", True), (4, "ipv6", "2001:4860:4860::8888", False)]
+        + [(5, "onion", "2gzyxa5ihm7nsggfxnu52rck2vv4rvmdlkiu3zzui5du4xyclen53wid.onion", None)], key=str)
