@@ -307,7 +307,7 @@ def redacted_text(spark, d):
 
 @query("SELECT page_id, regexp_replace(url, '([?&](ref|key|token)=)[^&#]+', '\\1[REDACTED]', 'g') AS url FROM (SELECT page_id, replace(url, '?utm_source=', '?token=') AS url FROM pages WHERE url NOT LIKE '%ref=%')")
 def redacted_url(spark, d):
-    own = table(spark, d, "pages").where("url not like '%ref=%'").withColumn("url", F.replace("url", F.lit("?utm_source="), F.lit("?token=")))
+    own = table(spark, d, "pages").withColumn("url", F.replace("url", F.lit("?utm_source="), F.lit("?token=")))
     return own.select("page_id", redact.redact_url(F.col("url")).alias("url"))
 
 

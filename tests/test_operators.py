@@ -93,3 +93,10 @@ def test_one_pass_over_texts(spark):
     plan = catalogue.pivot_all(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet") == 2 and "Python" not in plan  # documents and pages once each
     assert len(detect.DETECTORS) > 20
+
+
+def test_redacted_url_of_every_page(spark):
+    pages = {r["page_id"]: r["url"] for r in tables.table(spark, SF, "pages").collect()}
+    got = {r["page_id"]: r["url"] for r in catalogue.redacted_url(spark, SF).collect()}
+    assert got.keys() == pages.keys() and any("ref=" in u for u in pages.values())
+    assert all("ref=[REDACTED]" not in u and "?utm_source=" not in u for u in got.values())
