@@ -202,7 +202,7 @@ _TRACES = "traces AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'documents/' || doc_i
 
 def _traces(spark, d):
     key = F.col("doc_id").cast("string")
-    return table(spark, d, "documents").where("doc_id % 5 < 3").select(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("documents/"), key, F.lit(".txt"))).otherwise(F.concat(F.lit("/home/u/"), key, F.lit(".txt"))).alias("target"), F.when(F.col("doc_id") % 3 == 0, F.octet_length("text")).otherwise(1).alias("bytes"))
+    return table(spark, d, "documents").select(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("documents/"), key, F.lit(".txt"))).otherwise(F.concat(F.lit("/home/u/"), key, F.lit(".txt"))).alias("target"), F.when(F.col("doc_id") % 3 == 0, F.octet_length("text")).otherwise(1).alias("bytes"))
 
 
 @query(f"WITH {_FILES}, {_TRACES}, x AS (SELECT f.path, t.target, 'recorded-path' AS basis FROM files f JOIN traces t ON f.path = t.target), r AS (SELECT * FROM files WHERE path NOT IN (SELECT path FROM x)) SELECT * FROM x UNION ALL SELECT r.path, t.target, CASE WHEN t.bytes = r.size THEN 'name+size' ELSE 'filename' END FROM r JOIN traces t ON r.name = regexp_extract(t.target, '([^/]*)$', 1)")

@@ -100,3 +100,11 @@ def test_redacted_url_of_every_page(spark):
     got = {r["page_id"]: r["url"] for r in catalogue.redacted_url(spark, SF).collect()}
     assert got.keys() == pages.keys() and any("ref=" in u for u in pages.values())
     assert all("ref=[REDACTED]" not in u and "?utm_source=" not in u for u in got.values())
+
+
+def test_every_document_leaves_a_trace(spark):
+    ids = {r["doc_id"] for r in tables.table(spark, SF, "documents").collect()}
+    unknown = {r["path"] for r in catalogue.unknown_only(spark, SF).collect()}
+    assert {f"documents/{i}.txt" for i in ids if i % 2 == 0}.isdisjoint(unknown) and {f"documents/{i}.txt" for i in ids if i % 2} < unknown
+    named = {(r["path"], r["target"]) for r in catalogue.fallback_name_join(spark, SF).collect()}
+    assert {f"documents/{i}.txt" for i in ids} == {p for p, _ in named}
