@@ -1,13 +1,13 @@
 """Line dedup by site-relative frequency.
 
-Pages are grouped by host. A line that stands on more than a ratio of the host's pages is boilerplate of that host,
-and is dropped from all of its pages. Everything is DataFrame operations: lines become hashes, which are counted
+Pages are grouped by host. A line that stands in more than a ratio of the host's distinct texts is boilerplate of that
+host, and is dropped from all of its pages; exact copies of a page count once, so copies alone make no line boilerplate. Everything is DataFrame operations: lines become hashes, which are counted
 with partial aggregation; a host has at most lines-per-page / ratio boilerplate lines, so those come together in
 one array for each host, and meet the texts by host and a part of the host, which spreads a hot host.
 
 Defined results: lines are cut at \\n and compared without white space around them; blank lines are always kept; a
-line counts once for each page row; a null host is a host of its own; a null text stays null; an empty table gives
-an empty one; repeated rows are pages of their own; all other columns are passed on unchanged.
+line counts once for each distinct text; a null host is a host of its own; a null text stays null; an empty table gives
+an empty one; repeated rows each stay; all other columns are passed on unchanged.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A line is boilerplate if it stands on more than RATIO of the host's pages, and on MIN_PAGES of them at least.
+#: A line is boilerplate if it stands in more than RATIO of the host's distinct texts, and in MIN_PAGES of them at least.
 RATIO, MIN_PAGES = 0.05, 3
 #: Parts that the pages of a host are dealt out to.
 SPREAD = 32
@@ -33,9 +33,11 @@ def _key(line: Column) -> Column:
 
 def boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """__host and __lines: the hashes of each host's boilerplate lines."""
-    own = pages.select(F.col(host).cast("string").alias("__host"), F.array_compact(F.array_distinct(F.transform(_lines(text), _key))).alias("__keys"))
+    of, digest = F.col(host).cast("string"), F.md5(F.col(text))
+    own = pages.select(of.alias("__host"), digest.alias("__text"), F.array_compact(F.array_distinct(F.transform(_lines(text), _key))).alias("__keys"))
+    own = own.groupBy("__host", "__text").agg(F.first("__keys").alias("__keys"))
     count = own.select("__host", F.explode("__keys").alias("__key")).groupBy("__host", "__key").agg(F.count(F.lit(1)).alias("__n"))
-    total = pages.select(F.col(host).cast("string").alias("__h")).groupBy("__h").agg(F.count(F.lit(1)).alias("__pages"))
+    total = pages.select(of.alias("__h"), digest.alias("__text")).distinct().groupBy("__h").agg(F.count(F.lit(1)).alias("__pages"))
     often = count.where(F.col("__n") >= min_pages).join(total, F.col("__host").eqNullSafe(F.col("__h")))
     return often.where(F.col("__n") > ratio * F.col("__pages")).groupBy("__host").agg(F.collect_list("__key").alias("__lines"))
 

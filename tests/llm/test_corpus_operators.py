@@ -55,6 +55,12 @@ def test_line_dedup(spark):
     assert line_dedup.line_dedup(odd_docs(spark)).count() == 8
 
 
+def test_line_dedup_counts_copies_once(spark):
+    rows = [(i, "Copied one\nCopied two", "en") for i in range(5)] + [(5 + i, f"Menu bar\nown line {i}", "en") for i in range(4)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(odd_docs(spark, rows)).collect()}
+    assert [got[i] for i in range(5)] == ["Copied one\nCopied two"] * 5 and got[6] == "own line 1"
+
+
 def test_line_dedup_has_no_python(spark):
     assert "Python" not in queries.op1_line_dedup(spark, SF)._jdf.queryExecution().toString()
 
