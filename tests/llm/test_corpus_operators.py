@@ -61,6 +61,12 @@ def test_line_dedup_counts_copies_once(spark):
     assert [got[i] for i in range(5)] == ["Copied one\nCopied two"] * 5 and got[6] == "own line 1"
 
 
+def test_line_dedup_drops_rare_boilerplate(spark):
+    rows = [(i, "\n".join([f"own line {i}"] + ["Rare ad."] * (i < 14) + ["License."] * (i in (17, 18, 19))), "en") for i in range(10, 210)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(odd_docs(spark, rows)).collect()}
+    assert got[12] == "own line 12" and got[18] == "own line 18\nLicense."
+
+
 def test_line_dedup_has_no_python(spark):
     assert "Python" not in queries.op1_line_dedup(spark, SF)._jdf.queryExecution().toString()
 
