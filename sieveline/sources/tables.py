@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import markup
+
 #: The source that each type of event stands for.
 EVENTS = {"purchase": "browser-download", "signup": "document-metadata", "click": "shell-history", "view": "recent-documents", "error": "filesystem"}
 
@@ -23,10 +25,11 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """path, seq and text of every line of every document and url of every page."""
+    """path, seq and text of every line of every document, of url, texts and links of every page, and of every turn of a conversation."""
     docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("documents/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.posexplode(F.split("text", "\n")).alias("seq", "text"))
-    pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.lit(0).alias("seq"), F.col("url").alias("text"))
-    return docs.unionByName(pages).where("text <> ''")
+    pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.posexplode(F.concat(F.array("url"), markup.passages(F.col("html")))).alias("seq", "text"))
+    turns = table(spark, sf_dir, "conversations").select(F.concat(F.lit("conversations/"), F.col("conv_id").cast("string")).alias("path"), F.col("turn").cast("int").alias("seq"), "text")
+    return docs.unionByName(pages).unionByName(turns).where("text <> ''")
 
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:

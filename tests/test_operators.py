@@ -1,8 +1,10 @@
 import datetime
+from html.parser import HTMLParser
 
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from sieveline.functions import detect
 from sieveline.operators import correlate, graph, lineage, overview
@@ -108,3 +110,35 @@ def test_every_document_leaves_a_trace(spark):
     assert {f"documents/{i}.txt" for i in ids if i % 2 == 0}.isdisjoint(unknown) and {f"documents/{i}.txt" for i in ids if i % 2} < unknown
     named = {(r["path"], r["target"]) for r in catalogue.fallback_name_join(spark, SF).collect()}
     assert {f"documents/{i}.txt" for i in ids} == {p for p, _ in named}
+
+
+class _Read(HTMLParser):
+    def __init__(self, source):
+        super().__init__(convert_charrefs=True)
+        self.found, self.silent = [], 0
+        self.feed(source)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        self.silent += tag in ("script", "style")
+        self.found += [v for k, v in attrs if v and k in ("href", "src", "cite", "action", "data", "longdesc", "poster")]
+
+    def handle_endtag(self, tag):
+        self.silent -= tag in ("script", "style") and self.silent > 0
+
+    def handle_data(self, data):
+        self.found += [] if self.silent else [data]
+
+
+def test_passages_of_pages_and_conversations(spark):
+    from sieveline.sources import markup
+
+    odd = """<!DOCTYPE html><!-- a@no.com --><p title="x href=y">a&#64;b.com &lt;c&gt; &copy 1 &#x41;&eacute;&notit;</p><script src='/s.js?a=1&amp;b=2'>var a = "c@no.com";</script><A HREF=/u?x&amp;y=3>d</a><img src="e&#46;png"/>end"""
+    pages = [r["html"] for r in tables.table(spark, SF, "pages").collect()] + [odd]
+    own = spark.createDataFrame(list(enumerate(pages)), "i int, html string").select("i", markup.passages(F.col("html")).alias("p"))
+    for r in own.collect():
+        assert [x for x in r["p"] if x] == [x for x in _Read(pages[r["i"]]).found if x]
+    p = tables.passages(spark, SF).collect()
+    turns = tables.table(spark, SF, "conversations").where("text <> ''").count()
+    assert sum(r["path"].startswith("conversations/") for r in p) == turns > 0
+    assert any(r["path"].startswith("pages/") and r["seq"] > 0 for r in p)
