@@ -12,6 +12,7 @@ other columns never matter.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 
@@ -120,7 +121,8 @@ class Page:
             here = stack[-1][1]
             if name not in INLINE and not out:
                 self.parent.append(here)
-                self.path.append(f"{self.path[here]}>{name}{label}" if len(self.path[here]) < 600 else self.path[here])
+                own = f"{self.path[here]}>{name}{label}"
+                self.path.append(own if len(own) <= 600 else "#" + hashlib.md5(own.encode("utf-8", "surrogatepass")).hexdigest())
                 self.tag.append(name)
                 self.linked.append(0)
                 here = len(self.parent) - 1

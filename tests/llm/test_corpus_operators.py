@@ -433,3 +433,10 @@ def test_pipeline(spark):
 
 def test_queries_have_columns(spark):
     assert {re.match(r"op\d+_", n)[0] for n in queries.QUERIES} == {f"op{i}_" for i in range(1, 11)}
+
+
+def test_deep_containers_keep_paths_of_their_own():
+    for around in ("<div>" * 200, "<div class='" + "alpha " * 150 + "'>", "<div><div class='" + "alpha " * 150 + "'>"):
+        page = html_extract.read(f"{around}<div class='beta'>unmarked block</div><div class='gamma'>{'story words ' * 40}</div>")
+        path, _ = page.best()
+        assert page.text(path) == ("story words " * 40).strip() and len(set(page.path)) == len(page.path)
