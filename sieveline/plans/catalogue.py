@@ -87,7 +87,7 @@ _pivot("pivot_digest", {"digest"}, "type IN ('md5', 'sha1', 'sha256', 'sha512')"
 
 @query()
 def pivot_all(spark, d):
-    """Every detector in one pass."""
+    """Every detector of DETECTORS in one pass; README lists the types that have none there."""
     return pivots.identifiers(pivots.mentions(passages(spark, d)))
 
 
