@@ -20,6 +20,7 @@ null class; an empty table gives an empty one; other columns never matter.
 from __future__ import annotations
 
 import functools
+import hashlib
 
 import numpy as np
 import pyarrow as pa
@@ -158,7 +159,7 @@ def _overlap(a, b) -> float:
 
 
 def _verify(similar: float, batches):
-    last: dict[int, tuple] = {}
+    last: dict[tuple[int, bytes], tuple] = {}  # by id and text, as an id can have several
     for b in batches:
         centres = b.column("b").to_numpy(zero_copy_only=False)
         keep = np.zeros(len(centres), bool)
@@ -167,7 +168,7 @@ def _verify(similar: float, batches):
             g, r, c = multiset(buf, offs)
             first = np.searchsorted(r, np.arange(len(offs)))
             for j in range(len(offs) - 1):
-                centre = int(centres[i + j])
+                centre = int(centres[i + j]), hashlib.md5(texts[i + j].as_buffer()).digest()
                 if centre not in last:
                     if len(last) >= 64:
                         last.clear()

@@ -435,6 +435,13 @@ def test_queries_have_columns(spark):
     assert {re.match(r"op\d+_", n)[0] for n in queries.QUERIES} == {f"op{i}_" for i in range(1, 11)}
 
 
+def test_verify_compares_each_text_of_a_repeated_id():
+    own, other = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    for texts in ([other, own], [own, other]):
+        b = pa.RecordBatch.from_arrays([pa.array([1, 1]), pa.array([2, 2]), pa.array([own, own]), pa.array(texts)], ["a", "b", "text_a", "text_b"])
+        assert sum(out.num_rows for out in bagminhash._verify(0.8, [b])) == 1
+
+
 def test_deep_containers_keep_paths_of_their_own():
     for around in ("<div>" * 200, "<div class='" + "alpha " * 150 + "'>", "<div><div class='" + "alpha " * 150 + "'>"):
         page = html_extract.read(f"{around}<div class='beta'>unmarked block</div><div class='gamma'>{'story words ' * 40}</div>")
