@@ -16,13 +16,17 @@ import functools
 import hashlib
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Entries that a worker keeps in its memos of pieces and of pairs; more are computed again, never wrong.
-MEMO = 600_000
+#: Bounds on what a worker remembers: bytes of words and their ids in each of the two generations of a memo, and pairs
+#: of tokens. What is forgotten is computed again, never wrong.
+WORD_BYTES, PAIRS = 40 << 20, 300_000
+#: Tokens of one batch of output, but for a single longer document; rows that are turned into Python strings at once.
+BATCH_TOKENS, ROWS = 1 << 18, 256
 
 
 class Codec:
@@ -94,7 +98,7 @@ class Codec:
 
     def compatible(self, left: str, token: str) -> bool:
         """fits(), memoised."""
-        if self.n_pairs >= MEMO:
+        if self.n_pairs >= PAIRS:
             self.pairs.clear()
             self.n_pairs = 0
         self.n_pairs += 1
@@ -170,26 +174,34 @@ class _Space(Exception):
 
 
 class _Memo(dict):
-    """Ids of what stands before a word and the word, by the word."""
+    """Ids of what stands before a word and the word, by the word. A full generation takes the place of the older one,
+    whose words move on when they are met again."""
 
     def __init__(self, codec: Codec, before: str):
         super().__init__()
-        self.codec, self.before = codec, before
+        self.codec, self.before, self.older, self.bytes = codec, before, {}, 0
 
     def __missing__(self, word: str) -> str:
+        if (ids := self.older.get(word)) is None:
+            ids = self.ids(word)
+        if len(word) < 64:
+            self.bytes += 200 + len(word) + len(ids)
+            if self.bytes > WORD_BYTES:
+                self.older, self.bytes = dict(self), 0
+                self.clear()
+            self[word] = ids
+        return ids
+
+    def ids(self, word: str) -> str:
         if not word or word[0].isspace() or word[-1].isspace():
             raise _Space
         own = self.codec
         if word.isalpha():
             rank = own.rank
-            ids = ",".join([str(rank[t]) for t in own.piece((self.before + word).encode().decode("latin-1"))])
-        elif word[-1] in _ENDS and word[:-1].isalpha():  # two pieces
-            ids = f"{self[word[:-1]]},{own.rank[word[-1]]}"
-        else:
-            ids = own.plain(self.before + word)
-        if len(self) < MEMO and len(word) < 64:
-            self[word] = ids
-        return ids
+            return ",".join([str(rank[t]) for t in own.piece((self.before + word).encode().decode("latin-1"))])
+        if word[-1] in _ENDS and word[:-1].isalpha():  # two pieces
+            return f"{self[word[:-1]]},{own.rank[word[-1]]}"
+        return own.plain(self.before + word)
 
 
 @functools.lru_cache(2)
@@ -205,11 +217,17 @@ def default_files() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def _texts(column: pa.Array):
+    """The texts of a column, a few at a time as Python strings."""
+    for i in range(0, len(column), ROWS):
+        yield from column.slice(i, ROWS).to_pylist()
+
+
 def _digests(path: str, pattern: str, batches):
     own = codec(path, pattern)
     for b in batches:
         n, of_ids, of_text = [], [], []
-        for text in b.column("text").to_pylist():
+        for text in _texts(b.column("text")):
             ids = own.ids(text)
             n.append(ids.count(",") + 1 if ids else 0)
             of_ids.append(hashlib.sha256(ids.encode()).hexdigest())
@@ -227,10 +245,15 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 def _encoded(path: str, pattern: str, batches):
     own = codec(path, pattern)
     for b in batches:
-        texts = b.column("text").to_pylist()
-        for i in range(0, len(texts), 500):
-            ids = [list(map(int, x.split(","))) if (x := own.ids(t)) else [] for t in texts[i : i + 500]]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, 500), pa.array(list(map(len, ids)), pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "n_tokens", "ids"])
+        first, ids, n = 0, [], 0
+        for i, text in enumerate(_texts(b.column("text")), 1):
+            ids.append(np.fromstring(x, np.int32, sep=",") if (x := own.ids(text)) else np.zeros(0, np.int32))
+            n += len(ids[-1])
+            if n >= BATCH_TOKENS or i == b.num_rows:
+                offsets = np.concatenate([[0], np.cumsum(list(map(len, ids)))]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(first, len(ids)), pa.array(np.diff(offsets).astype(np.int64)), lists], ["doc_id", "n_tokens", "ids"])
+                first, ids, n = i, [], 0
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
