@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Separator class of the word contracts: space and \x09-\x0D.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Tables that are sent to all executors are measured first and have at most so many MB.
+SMALL_MB = 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,10 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def use_checkpoints(spark: SparkSession) -> None:
     """Make checkpoint() usable. The folder is the cluster's spark.checkpoint.dir; only where that is unset
-    (a local test session) a temporary one is made."""
+    and the master is local, a temporary one is made: executors of a cluster would not see it."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sieveline-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="sieveline-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -29,12 +34,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def numbered(df: DataFrame) -> list[Column]:
+    """All columns of a table under names of their own (c0, c1, ...), so that none meets a name of the operator; back by named()."""
+    return [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)]
+
+
+def named(df: DataFrame, but: tuple[str, ...] = (), **new: Column) -> list[Column]:
+    """The columns that numbered() renamed under the names of df, without some, and with new values for others."""
+    return [new.get(c, F.col(f"c{i}")).alias(c) for i, c in enumerate(df.columns) if c not in but]
+
+
 def unit_hash(*cols: Column | str) -> Column:
     """A deterministic number in [0, 1) from the given columns, the same on every run and partitioning."""
     h = F.xxhash64(F.lit(20411), *[F.col(c) if isinstance(c, str) else c for c in cols])
     return F.shiftrightunsigned(h, 11).cast("double") / F.lit(float(1 << 53))
-
-
-def sum_of(df: DataFrame, *exprs: Column) -> tuple:
-    """The single row of a global aggregate."""
-    return tuple(df.agg(*exprs).first())

@@ -1,17 +1,24 @@
 """Main text of web pages by consensus host paths.
 
-First pass: each page's containers are scored by the clean text they hold, and the page votes for the
-generalised tag-class path of its best one (numbers and positions left out). Votes are counted per host in Spark.
-Second pass: each page is extracted again from the containers on its host's winning path; a page without such
-a container uses its own best one.
+First pass: each page's containers are scored by the text they hold, without that of links, and the page votes for
+the generalised tag-class path of its best one (numbers and positions left out). Votes are counted per host in Spark,
+and so is the evidence on containers that look like boxes around a text: on how many pages they stand, how much of
+their text is in links, how often they repeat one text, what share of the page they hold. Second pass: each page is
+extracted again from the containers on its host's winning path, without the boxes; a page without such a container
+uses its own best one.
+
+A box is what the evidence says: a class or an id made of nothing but box words counts 1, links and repetition over the host's
+pages half each; text of its own on all pages, much of it and without links, counts against it. A box word next to any other
+word says nothing, and no word alone removes a container that holds most of a page.
 
 Defined results: null and empty pages, and pages without text, give an empty text; a url without a host shares
-the empty host; pages of any length and broken markup are read to their end; repeated rows get equal results;
-other columns never matter.
+the empty host; pages of any length and depth and broken markup are read to their end; repeated rows get equal results and
+vote once for each row; equal votes go to one path by its hash; other columns never matter.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import html
 import re
@@ -20,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import unit_hash
+from .common import SMALL_MB, cut, unit_hash
 
 # Element names of HTML and words that sites use for what is around a text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -30,12 +37,13 @@ CLOSES_P = frozenset("address article aside blockquote center details dialog dir
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}}
 AROUND = frozenset("nav header footer aside form menu button select dialog svg canvas object audio video head datalist".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+# Words of boxes around a text, and words that may stand next to them in the name of a box.
 WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertisements adsense advertising sponsor sponsored promo promotion promoted nav navbar navigation menu menus submenu breadcrumb breadcrumbs footer header masthead "
     "sidebar sidebars rail widget widgets cookie cookies consent gdpr notice notices notification banner alert popup modal overlay newsletter subscribe signup login comment comments disqus respond replies reply "
     "share sharing social related recommended pagination pager toolbar copyright skip hidden".split()
 )
-MILD = frozenset("with has no without".split())
+BESIDE = frozenset("list box wrap wrapper section block area container item items top bottom left right main page site reader readers user users post posts article articles inline bar links link text content inner outer first last small large".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 _ATTR = re.compile(r"""(class|id|role|hidden|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/]|\Z)""", re.I)
@@ -47,7 +55,7 @@ class Page:
     """Blocks of clean text of a page and the tree of its containers."""
 
     def __init__(self, source: str, around: frozenset[str] = AROUND):
-        self.parent, self.path, self.tag = [-1], [""], [""]
+        self.parent, self.path, self.tag, self.named = [-1], [_path(0, "", "")], [""], [False]
         self.blocks: list[tuple[int, str]] = []
         self.linked = [0]
         self._read(source or "", around)
@@ -72,10 +80,11 @@ class Page:
 
         def close(name: str) -> None:
             while stack[-1][0] != name:
-                if stack[-1][0] not in INLINE:
-                    flush()
-                pop()
-            if name not in INLINE:
+                leave()
+            leave()
+
+        def leave() -> None:
+            if stack[-1][0] not in INLINE or stack[-1][1] != stack[-2][1]:  # a named box may be an inline element
                 flush()
             pop()
 
@@ -114,16 +123,18 @@ class Page:
                     close(other)
             if name not in INLINE:
                 flush()
-            out, label = stack[-1][2], ""
+            out, label, named = stack[-1][2], "", False
             if attrs and ("=" in attrs or "hidden" in attrs):
-                out, label = self._attributes(attrs, out, name)
+                out, label, named = self._attributes(attrs, out, name)
             out = out or name in around
             here = stack[-1][1]
-            if name not in INLINE and not out:
+            if (name not in INLINE or named) and not out:
+                if name in INLINE:
+                    flush()
                 self.parent.append(here)
-                own = f"{self.path[here]}>{name}{label}"
-                self.path.append(own if len(own) <= 600 else "#" + hashlib.md5(own.encode("utf-8", "surrogatepass")).hexdigest())
+                self.path.append(_path(self.path[here], name, label))
                 self.tag.append(name)
+                self.named.append(named)
                 self.linked.append(0)
                 here = len(self.parent) - 1
             stack.append((name, here, out, stack[-1][3] or name == "a"))
@@ -143,8 +154,9 @@ class Page:
         return False
 
     @staticmethod
-    def _attributes(attrs: str, out: bool, name: str) -> tuple[bool, str]:
-        label = ""
+    def _attributes(attrs: str, out: bool, name: str) -> tuple[bool, str, bool]:
+        """Left out, the words of the classes, and whether a class or the id names a box."""
+        label, named = "", False
         for m in _ATTR.finditer(attrs):
             kind, value = m[1].lower(), (m[2] or "").strip("\"'")
             if kind == "hidden":
@@ -154,28 +166,31 @@ class Page:
             elif kind in ("class", "id"):
                 for word in value.split():
                     parts = _PART.findall(_CAMEL.sub("-", word).lower())
-                    if name not in ("body", "html", "main", "article") and not WORDS.isdisjoint(parts) and MILD.isdisjoint(parts):
-                        out = True
+                    named = named or (name not in ("body", "html", "main", "article") and not WORDS.isdisjoint(parts) and all(p in WORDS or p in BESIDE for p in parts))
                     if parts and kind == "class":
                         label += "." + "-".join(parts)
-        return out, label
+        return out, label, named
 
-    def masses(self) -> list[int]:
-        """Characters of clean text in each container, less those of links."""
+    def masses(self, boxes: bool = False) -> list[int]:
+        """Characters of text in each container, less those of links; of named boxes none, unless asked for."""
         own = [0] * len(self.parent)
         for c, block in self.blocks:
             own[c] += len(block)
         own = [max(0, a - b) for a, b in zip(own, self.linked)]
         for i in range(len(own) - 1, 0, -1):
+            if self.named[i] and not boxes:
+                own[i] = 0
             own[self.parent[i]] += own[i]
         return own
 
-    def best(self) -> tuple[str, float]:
+    def best(self) -> tuple[int, float]:
         """Path of the best container and its share of the page's text: an article, or else the innermost container
-        that still holds most of the text."""
+        that still holds most of the text. Where all text is in named boxes, they count like others."""
         mass = self.masses()
         if not mass[0]:
-            return "", 0.0
+            mass = self.masses(True)
+        if not mass[0]:
+            return NOWHERE, 0.0
         for tags in (("article",), ("main",)):
             found = [i for i, t in enumerate(self.tag) if t in tags and mass[i] * 3 >= mass[0]]
             if found:
@@ -191,18 +206,54 @@ class Page:
             at = top
         return self.path[at], mass[at] / mass[0]
 
-    def text(self, path: str | None) -> str:
-        """Blocks inside of the containers on a path, in page order; without such text, those of the page's best container."""
+    def boxes(self) -> list[tuple[int, float, float, int]]:
+        """(path, share of the page's text, share of links, digest of the text) of each named box that is in no other."""
+        if not any(self.named):
+            return []
+        n = len(self.parent)
+        size, links, outer, text = [0] * n, list(self.linked), [-1] * n, {}
+        for i in range(1, n):
+            outer[i] = outer[self.parent[i]] if outer[self.parent[i]] >= 0 else i if self.named[i] else -1
+        for c, block in self.blocks:
+            size[c] += len(block)
+            if outer[c] >= 0:
+                text.setdefault(outer[c], []).append(block)
+        for i in range(n - 1, 0, -1):
+            size[self.parent[i]] += size[i]
+            links[self.parent[i]] += links[i]
+        return [(self.path[i], size[i] / size[0], min(1.0, links[i] / size[i]), _hash(" ".join(own))) for i, own in text.items()]
+
+    def text(self, path: int | None, kept: frozenset[int] = frozenset()) -> str:
+        """Blocks inside of the containers on a path, in page order, without boxes; without such text, those of the page's best container.
+
+        kept: paths of named containers that the host's pages show to be no boxes. A box that holds nine tenths of the page stays too.
+        """
+        heavy = {p for p, share, _, _ in self.boxes() if share >= 0.9}
         for p in (path, self.best()[0]):
             if p is not None:
-                inside = [False] * len(self.parent)
+                inside, out = [False] * len(self.parent), [False] * len(self.parent)
                 for i, own in enumerate(self.path):
                     inside[i] = own == p or (i > 0 and inside[self.parent[i]])
-                if found := [b for c, b in self.blocks if inside[c]]:
+                    out[i] = own != p and ((self.named[i] and own not in kept and own not in heavy) or (i > 0 and out[self.parent[i]]))
+                if found := [b for c, b in self.blocks if inside[c] and not out[c]]:
                     return " ".join(found)
         return ""
 
 
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+@functools.lru_cache(1 << 14)
+def _path(parent: int, name: str, label: str) -> int:
+    """The path of a container is a hash of its parent's and of its own tag and classes, so any depth has one size."""
+    return _hash(f"{parent}>{name}{label}")
+
+
+#: The path of pages without text, which no container has.
+NOWHERE = 0
+
+
 def read(source: str | None) -> Page:
     """A page; where all text is inside of a form, the form isn't left out."""
     page = Page(source or "")
@@ -215,31 +266,65 @@ def host(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, "(?s)^.*?://([^/?#]*)", 1)), F.lit(""))
 
 
+_SEEN = "host string, path long, vote double, share double, links double, digest long"
+
+
 def _vote(batches):
     for b in batches:
-        found = [read(x).best() for x in b.column("html").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("host"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["host", "path", "share"])
+        rows = []
+        for h, x in zip(b.column("host").to_pylist(), b.column("html")):
+            page = read(x.as_py())
+            path, share = page.best()
+            if path != NOWHERE:
+                rows.append((h, path, share, 0.0, 0.0, None))
+            rows += [(h, p, 0.0, s, k, d) for p, s, k, d in page.boxes()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 6, (pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()))], ["host", "path", "vote", "share", "links", "digest"])
 
 
 def votes(pages: DataFrame) -> DataFrame:
-    """host, path and votes: one for each page, weighed by the share of its text that the container holds."""
-    own = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(_vote, "host string, path string, share double")
-    return own.where("path <> ''").groupBy("host", "path").agg(F.sum("share").alias("votes"))
+    """host, path, votes (one for each page, weighed by the share of its text that the container holds), and whether
+    the host's pages show a named container on the path to be no box (shown)."""
+    seen = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(_vote, _SEEN)
+    # one row for each text of a box first, so that a box that repeats on all pages costs its host no more than others
+    seen = seen.groupBy("host", "path", "digest").agg(F.sum("vote").alias("votes"), F.count("digest").alias("n"), F.sum("share").alias("share"), F.sum("links").alias("links"))
+    own = seen.groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.sum("n").alias("n"), F.count("digest").alias("texts"), F.sum("share").alias("share"), F.sum("links").alias("links"))
+    n = F.greatest("n", F.lit(1))
+    unlike = F.when((F.col("n") >= 3) & (F.col("texts") >= 0.9 * n) & (F.col("share") >= 0.3 * n) & (F.col("links") < 0.2 * n), 1.0).otherwise(0.0)
+    score = 1 + 0.5 * F.when(F.col("links") > 0.5 * n, 1).otherwise(0) + 0.5 * F.when(F.col("texts") < 0.5 * n, 1).otherwise(0) - unlike
+    return own.select("host", "path", "votes", ((F.col("n") > 0) & (score < 1)).alias("shown"))
+
+
+def winners(pages: DataFrame) -> DataFrame:
+    """host, its winning path, and the paths of its named containers that are no boxes."""
+    return votes(pages).groupBy("host").agg(
+        F.max_by(F.when(F.col("votes") > 0, F.col("path")), F.struct("votes", "path")).alias("path"), F.collect_list(F.when(F.col("shown"), F.col("path"))).alias("kept")
+    )
 
 
 def _extract(batches):
     for b in batches:
-        texts = [read(x).text(p) for x, p in zip(b.column("html").to_pylist(), b.column("path").to_pylist())]
+        texts = [read(x.as_py()).text(p, frozenset(k or ())) for x, p, k in zip(b.column("html"), b.column("path").to_pylist(), b.column("kept").to_pylist())]
         yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
-#: Parts that the pages of one host are dealt out to, and copies of each winner.
-SPREAD = 32
-
-
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text and n_chars of every page."""
-    winners = votes(pages).groupBy("host").agg(F.max_by("path", F.struct("votes", "path")).alias("path"))
-    winners = winners.select("host", "path", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("part"))
-    own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host(F.col("url")).alias("host"), (unit_hash("page_id", "url") * SPREAD).cast("int").alias("part"))
-    return own.join(winners, ["host", "part"], "left").select("page_id", "url", "html", "path").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    """page_id, url, text and n_chars of every page.
+
+    Winners are a short row for each host. Where all of them together are under SMALL_MB, they go to the pages; else pages meet
+    them by host and part, in as many parts as the host has pages for, so that a hot host is dealt out.
+    """
+    best = cut(winners(pages))
+    own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host(F.col("url")).alias("host"))
+    mb = (best.agg(F.sum(F.octet_length("host") + 8 * F.size("kept") + 64)).first()[0] or 0) / 1e6
+    if mb <= SMALL_MB:
+        met = own.join(F.broadcast(best), "host", "left")
+    else:
+        parts = cut(own.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / PAGES).cast("int").alias("parts")).where("parts > 1"))
+        best = best.join(parts, "host", "left").select("host", "path", "kept", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+        part = F.floor(unit_hash("page_id", "url") * F.coalesce("parts", F.lit(1))).cast("int")  # hot hosts are few: at most one for each PAGES pages
+        met = own.join(parts, "host", "left").withColumn("part", part).join(best, ["host", "part"], "left")
+    return met.select("page_id", "url", "html", "path", "kept").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+
+
+#: Pages of a host that meet its winner in one part, where winners are too many to be sent to all pages.
+PAGES = 20_000
