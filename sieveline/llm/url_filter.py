@@ -1,13 +1,16 @@
 """URL filters: rules by host and path first, gradient-boosted trees on lexical features for all other urls.
 
-The trees are trained from labelled urls: those that a rule decides, and those whose host has a word of the
+The trees are trained from labelled urls: those that a rule decides, and of all others those whose host has a word of the
 seed list of unwanted sites. Features are length, depth, digit ratio, entropy of the characters, counts of
-parameters and marks, and statistics of suffixes (how often labelled urls under a host suffix are to be blocked).
-Training and prediction are DataFrame operations and Spark's own tree learner; no Python runs on executors.
+parameters and marks, and statistics of suffixes: how often labelled urls of one site, of one zone (both suffixes of hosts) and of
+one kind of file (suffix of the path, with its first part) are to be blocked. A labelled url never counts in its own statistics: it gets
+those of the other folds. Training and prediction are DataFrame operations and Spark's own tree learner; no Python
+runs on executors.
 
 Defined results: a null url, or one without ://, has an empty host and path, no rule, and is allowed; repeated rows
-get equal results; without labelled urls of both kinds there are no trees and all other urls are allowed;
-other columns never matter.
+get equal results; a repeated url is one labelled url, to be blocked if any of its labels says so; equal hashes are ordered by url;
+urls of any length are read whole; without labelled urls of both kinds there are no trees and all other urls are allowed;
+a score of one half allows; other columns never matter.
 """
 
 from __future__ import annotations
@@ -29,9 +32,12 @@ SEEDS = ("casino", "bets", "betting", "poker", "pills", "viagra", "porn", "adult
 #: Bound on the labelled urls that trees are trained on, those with the smallest hashes.
 SAMPLE = 20_000
 TREES, DEPTH = 12, 4
+#: Parts of the labelled urls; a labelled url gets the suffix statistics of the other parts. Weight of one half in each rate.
+FOLDS, PRIOR = 5, 2.0
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-FEATURES = ("f_length", "f_host_length", "f_depth", "f_labels", "f_digits", "f_host_digits", "f_entropy", "f_params", "f_hyphens", "f_query", "f_fragment", "f_www", "f_file", "f_https", "f_site_rate", "f_zone_rate")
+SUFFIXES = ("site", "zone", "kind")
+FEATURES = ("f_length", "f_host_length", "f_depth", "f_labels", "f_digits", "f_host_digits", "f_entropy", "f_params", "f_hyphens", "f_query", "f_fragment", "f_www", "f_file", "f_https", *(f"f_{s}_rate" for s in SUFFIXES))
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -56,10 +62,10 @@ def matched(host: Column, path: Column, rules: Sequence[tuple[str, str]] = RULES
 def _lexical(df: DataFrame) -> DataFrame:
     url, host = F.coalesce("url", F.lit("")), F.col("host")
     share = lambda c: F.length(F.regexp_replace(c, r"[^0-9]", "")) / F.greatest(F.length(c), F.lit(1))
-    # entropy of the characters of the url, by the letters and marks that urls have
-    counts = F.array(*[F.length(url) - F.length(F.replace(url, F.lit(c))) for c in "abcdefghijklmnopqrstuvwxyz0123456789-._/"])
     n = F.greatest(F.length(url), F.lit(1)).cast("double")
-    entropy = F.aggregate(counts, F.lit(0.0), lambda a, c: a - F.when(c > 0, (c / n) * F.log2(c / n)).otherwise(0.0))
+    chars = F.array_distinct(F.regexp_extract_all(url, F.lit("(?s)."), F.lit(0)))
+    times = F.transform(chars, lambda c: (F.length(url) - F.length(F.replace(url, c, F.lit("")))).cast("double"))
+    entropy = F.aggregate(times, F.lit(0.0), lambda a, c: a - (c / n) * F.log2(c / n))
     labels = F.split(host, r"\.")
     return df.withColumns({
         "f_length": F.length(url).cast("double"), "f_host_length": F.length(host).cast("double"), "f_depth": F.size(F.split("path", "/")).cast("double"), "f_labels": F.size(labels).cast("double"),
@@ -67,13 +73,14 @@ def _lexical(df: DataFrame) -> DataFrame:
         "f_query": url.contains("?").cast("double"), "f_fragment": url.contains("#").cast("double"), "f_www": host.startswith("www.").cast("double"),
         "f_file": F.col("path").rlike(r"\.[A-Za-z0-9]{1,5}$").cast("double"), "f_https": url.startswith("https").cast("double"),
         "site": F.array_join(F.slice(labels, F.greatest(F.size(labels) - 2, F.lit(1)), 3), "."), "zone": F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), "."),
+        "kind": F.concat(F.lower(F.regexp_extract("path", r"^/([^/]*)/", 1)), F.lit("/*"), F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]{1,5})$", 1))),
     })
 
 
 def label(host: Column, verdict: Column, seeds: Sequence[str] = SEEDS) -> Column:
-    """1 for urls to block, 0 for urls to allow, null where nothing is known."""
+    """1 for urls to block, 0 for urls to allow, null where nothing is known; a rule's verdict comes before the seeds."""
     bad = host.rlike(r"(^|[^a-z])(" + "|".join(seeds) + r")([^a-z]|$)")
-    return F.when(bad, 1.0).when(verdict == "allow", 0.0).when(verdict == "block", 1.0)
+    return F.when(verdict == "allow", 0.0).when(verdict == "block", 1.0).when(bad, 1.0)
 
 
 class Model:
@@ -81,17 +88,32 @@ class Model:
 
     def __init__(self, labelled: DataFrame, sample: int = SAMPLE):
         """labelled: url, host, path and label (0.0 or 1.0); statistics cover all of it, the trees a bounded sample."""
-        own = _lexical(labelled)
-        rates = lambda of: own.groupBy(F.col(of).alias(f"{of}_of")).agg(((F.sum("label") + 0.5) / (F.count("*") + 1.0)).alias(f"f_{of}_rate"))
-        self.sites, self.zones = cut(rates("site")), cut(rates("zone"))
-        some = cut(self.vectors(own.orderBy(unit_hash("url"), "url").limit(sample).repartition(4)).select("features", "label"))
+        own = labelled.groupBy("url", "host", "path").agg(F.max("label").alias("label")).withColumn("fold", F.pmod(F.xxhash64(F.lit(5), "url"), F.lit(FOLDS)))
+        own = cut(_lexical(own))
+        self.counts = {s: cut(own.groupBy(F.col(s).alias("of"), F.col("fold").alias("in_fold")).agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("bad"))) for s in SUFFIXES}
+        some = cut(self.vectors(own.orderBy(unit_hash("url"), "url").limit(sample).repartition(4), True).select("features", "label"))
         self.trees = None
         if some.agg(F.count_distinct("label")).first()[0] == 2:
             self.trees = GBTClassifier(featuresCol="features", labelCol="label", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=11, maxBins=32, cacheNodeIds=False).fit(some)
 
-    def vectors(self, lexical: DataFrame) -> DataFrame:
-        full = lexical.join(self.sites, F.col("site") == F.col("site_of"), "left").join(self.zones, F.col("zone") == F.col("zone_of"), "left")
-        return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(full.na.fill(0.5, ["f_site_rate", "f_zone_rate"]))
+    def use(self) -> dict[str, float]:
+        """How much each feature decides, as shares of 1; empty without trees."""
+        return {} if self.trees is None else dict(zip(FEATURES, self.trees.featureImportances.toArray().tolist()))
+
+    def rated(self, lexical: DataFrame, held: bool = False) -> DataFrame:
+        """With the rate of each suffix; held: without the fold of the row itself."""
+        for s in SUFFIXES:
+            all_ = self.counts[s].groupBy(F.col("of").alias("of_all")).agg(F.sum("n").alias("n_all"), F.sum("bad").alias("bad_all"))
+            lexical = lexical.join(all_, F.col(s) == F.col("of_all"), "left")
+            n, bad = F.coalesce("n_all", F.lit(0)), F.coalesce("bad_all", F.lit(0.0))
+            if held:
+                lexical = lexical.join(self.counts[s], (F.col(s) == F.col("of")) & (F.col("fold") == F.col("in_fold")), "left")
+                n, bad = n - F.coalesce("n", F.lit(0)), bad - F.coalesce("bad", F.lit(0.0))
+            lexical = lexical.withColumn(f"f_{s}_rate", (bad + PRIOR / 2) / (n + PRIOR)).drop("of_all", "n_all", "bad_all", "of", "in_fold", "n", "bad")
+        return lexical
+
+    def vectors(self, lexical: DataFrame, held: bool = False) -> DataFrame:
+        return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(self.rated(lexical, held))
 
     def blocked(self, urls: DataFrame) -> DataFrame:
         """urls with the column score: the probability that a url is to be blocked; 0 without trees."""
