@@ -1,11 +1,14 @@
 """Secret scans over a ledger of blobs.
 
 Every version of a text is a blob, addressed by the SHA-256 of its content. A run scans each pair of a blob and
-a rule version that the ledger doesn't have yet exactly once, however many paths show the blob, and joins the
-findings back to all paths. A ledger in the shared folder makes the next run scan new blobs and new rules only.
+a rule version that the ledger doesn't have yet, however many paths show the blob, and joins the findings back to
+all paths. A ledger in the shared folder makes the next run scan new blobs and new rules only.
 
 Defined results: null and empty texts are the empty blob, which has no finding; paths may repeat or be null (each
-row gets its own result row); spans count code points, with exclusive ends; findings of one kind don't overlap.
+row gets its own result row); rows that repeat both path and text are one blob, scanned once by a task; a ledger
+may hold a blob twice (two runs at once, or an append that was tried again), which gives no row twice; spans count code points,
+with exclusive ends; findings of one kind don't overlap; a span list begins with the smaller start, then the kind that is
+listed first; other columns never matter.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ RULES = (
     ("vendor", r"\b(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35})", 0, 1),
 )
 BASE = 3
+#: Blobs that a task remembers; one that it has forgotten is scanned again, and the ledger still gets one entry.
+SEEN = 100_000
 LEDGER = "blob string, rule_version string, spans array<struct<kind:int,start:int,end:int>>"
 
 
@@ -53,10 +58,17 @@ _SPANS = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end"
 
 
 def _scan(rules, batches):
+    seen: set[str] = set()  # rows of one blob that repeat their path come to one task
     for b in batches:
-        spans = [[{"kind": k, "start": s, "end": e} for k, s, e in find(t or "", rules)] for t in b.column("text").to_pylist()]
-        out = pa.RecordBatch.from_arrays([b.column("blob"), pa.array(spans, _SPANS)], ["blob", "spans"])
-        yield out
+        blobs, spans = [], []
+        for blob, text in zip(b.column("blob").to_pylist(), b.column("text")):
+            if blob not in seen:
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(blob)
+                blobs.append(blob)
+                spans.append([{"kind": k, "start": s, "end": e} for k, s, e in find(text.as_py() or "", rules)])
+        yield pa.RecordBatch.from_arrays([pa.array(blobs, pa.string()), pa.array(spans, _SPANS)], ["blob", "spans"])
 
 
 def versions(docs: DataFrame) -> DataFrame:
@@ -97,7 +109,7 @@ def scan_into(spark: SparkSession, docs: DataFrame, path: str, rules=RULES) -> D
 
 def findings(paths: DataFrame, entries: DataFrame, rules=RULES) -> DataFrame:
     """Every path with the spans of its blob: doc_id, a count for each base kind, base_sha256 and spans."""
-    some = entries.where(F.size("spans") > 0).select("blob", "spans")
+    some = entries.where(F.size("spans") > 0).groupBy("blob").agg(F.max("spans").alias("spans"))  # entries of one blob are equal
     own = paths.join(some, "blob", "left").withColumn("spans", F.coalesce("spans", F.expr("cast(array() as array<struct<kind:int,start:int,end:int>>)")))
     names = F.array(*[F.lit(r[0]) for r in rules])
     text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
