@@ -2,11 +2,12 @@
 
 Every document gets rule statistics (word, symbol, repetition and letter-case rates). A forest of random splits
 is grown on a bounded sample of labelled documents; a document that random splits isolate after few steps is
-anomalous. The threshold on the anomaly score is calibrated on the labelled rows of the sample.
+anomalous. The threshold on the anomaly score is calibrated on labelled rows that no tree has grown on.
 
-Defined results: a null or empty text has no words and fails the base rules; repeated rows get equal verdicts; without
-any labelled row of good quality there is no forest and every document that passes the base rules is kept;
-other columns of the input never matter.
+Defined results: a null or empty text has no words and fails the base rules; repeated rows get equal verdicts; of
+several texts of one labelled id the first by code point counts, and of several labels the best; equal scores get
+equal verdicts, as only a score above the threshold rejects; without any labelled row of good quality there is no forest
+and every document that passes the base rules is kept; other columns of the input never matter.
 """
 
 from __future__ import annotations
@@ -149,13 +150,19 @@ class Forest:
 
 
 class Model:
-    """A forest grown on the labelled good rows, and the score above which a document is rejected."""
+    """A forest grown on labelled good rows, and the score above which a document is rejected."""
 
-    def __init__(self, x: np.ndarray, good: np.ndarray):
+    def __init__(self, x: np.ndarray, good: np.ndarray, grows: np.ndarray | None = None):
+        """grows: the rows that trees may grow on; the threshold is set on all others. By default, and where
+        either part would have no good row, all rows serve both."""
         self.forest, self.limit = None, np.inf
         if not good.any():
             return
-        self.forest = Forest(x[good], x)
+        if grows is None or not (good & grows).any() or not (good & ~grows).any():
+            grows = np.ones(len(x), bool)
+        self.forest = Forest(x[good & grows], x)
+        held = ~grows if not grows.all() else grows
+        x, good = x[held], good[held]
         score = self.forest.score(x)
         keep, drop = np.sort(score[good]), np.sort(score[~good])
         floor = keep[min(len(keep) - 1, int(np.ceil(KEEP * len(keep))))]
@@ -175,7 +182,7 @@ class Model:
 def _sample_stats(batches):
     for b in batches:
         s = statistics(b.column("text"))
-        yield pa.RecordBatch.from_arrays([pa.array(s[k]) for k in (*COUNTS, *EXTRA)] + [b.column("quality")], [*COUNTS, *EXTRA, "quality"])
+        yield pa.RecordBatch.from_arrays([pa.array(s[k]) for k in (*COUNTS, *EXTRA)] + [b.column("quality"), b.column("grows")], [*COUNTS, *EXTRA, "quality", "grows"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -184,12 +191,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
         .orderBy(unit_hash("doc_id"), "doc_id").limit(sample)
     )
-    own = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    got = own.select("text", F.col("quality").cast("long").alias("quality")).mapInArrow(_sample_stats, ", ".join(f"{k} long" for k in (*COUNTS, *EXTRA, "quality"))).limit(4 * sample).toPandas()
+    # a row for each chosen id, so the driver gets `sample` short rows at most
+    own = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("quality").cast("long").alias("quality"))
+    own = own.select("text", "quality", (F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(2)) == 0).cast("long").alias("grows"))
+    got = own.mapInArrow(_sample_stats, ", ".join(f"{k} long" for k in (*COUNTS, *EXTRA, "quality", "grows"))).toPandas()
     got = got.sort_values(list(got.columns)).reset_index(drop=True)  # the fit doesn't depend on partitions
     s = {k: got[k].to_numpy() for k in (*COUNTS, *EXTRA)}
     fine = ~base_failed(s)
-    return Model(features(s)[fine], (got["quality"].to_numpy() > 0)[fine])
+    return Model(features(s)[fine], (got["quality"].to_numpy() > 0)[fine], (got["grows"].to_numpy() > 0)[fine])
 
 
 def _judge(model: Model, batches):
