@@ -7,18 +7,17 @@ one Arrow-fed function that checks them and gives their normal forms.
 from __future__ import annotations
 
 import ipaddress
-import math
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .checksums import BASE58, BECH32, base58_version, bech32_witness, onion_label
+from .checksums import BASE58, BECH32, base58_version, base58_versions, bech32_witness, onion_label
 
 # Shapes of addresses, version bytes, generator and prefix of CashAddr, networks of Monero and their lengths.
 SHAPES = (
-    ("legacy", r"(?<![A-Za-z0-9])([1-9A-HJ-NP-Za-km-z]{26,35})(?![A-Za-z0-9])", ""),
+    ("legacy", r"(?<![A-Za-z0-9])([13LMD9A][1-9A-HJ-NP-Za-km-z]{25,34})(?![A-Za-z0-9])", ""),
     ("bc", r"(?i)(?<![A-Za-z0-9])(bc1[02-9ac-hj-np-z]{6,87})(?![A-Za-z0-9])", ""),
     ("ltc", r"(?i)(?<![A-Za-z0-9])(ltc1[02-9ac-hj-np-z]{6,87})(?![A-Za-z0-9])", ""),
     ("bch", r"(?i)(?<![A-Za-z0-9:])((?:bitcoincash:)?[qp][02-9ac-hj-np-z]{41})(?![A-Za-z0-9])", ""),
@@ -31,6 +30,7 @@ SHAPES = (
 LEGACY = {0x00: "btc", 0x05: "btc", 0x30: "ltc", 0x32: "ltc", 0x1E: "doge", 0x16: "doge"}
 CASHADDR, CASHADDR_GENERATOR = "bitcoincash", (0x98F2BC8E61, 0x79B76D99E2, 0xF33E5FB3C4, 0xAE2EABE2A8, 0x1E4F43E470)
 MONERO = {18: 69, 19: 77, 42: 69}
+MONERO_BLOCK = {2: 1, 3: 2, 5: 3, 6: 4, 7: 5, 9: 6, 10: 7, 11: 8}
 KECCAK_RATE = 136
 
 _ALL = (1 << 64) - 1
@@ -102,13 +102,13 @@ def cashaddr(text: str) -> str | None:
 
 
 def monero(text: str) -> str | None:
-    """Blocks of 8 bytes are 11 characters; a shorter last one has as many bytes as its characters can hold."""
+    """Blocks of 8 bytes are 11 characters; a shorter last one has the characters of MONERO_BLOCK."""
     raw = b""
     for part in (text[i : i + 11] for i in range(0, len(text), 11)):
-        size, number = int(len(part) * math.log(58, 256)), 0
+        size, number = MONERO_BLOCK.get(len(part)), 0
         for c in part:
             number = number * 58 + BASE58.index(c)
-        if math.ceil(size * math.log(256, 58)) != len(part) or number >= 256**size:
+        if size is None or number >> (8 * size):
             return None
         raw += number.to_bytes(size, "big")
     return text if MONERO.get(raw[0]) == len(raw) and keccak256(raw[:-4])[:4] == raw[-4:] else None
@@ -139,12 +139,26 @@ def proved(shape: str, raw: str) -> tuple[str, str, bool | None] | None:
     return (shape, normal, None) if normal else None
 
 
-_PROVED = T.StructType([T.StructField("type", T.StringType()), T.StructField("normalized", T.StringType()), T.StructField("private", T.BooleanType())])
+FOUND = "array<struct<type:string,raw:string,normalized:string,private:boolean>>"
 
 
-@F.pandas_udf(_PROVED)
-def _prove(shape: pd.Series, raw: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([proved(s, r) or (None, None, None) for s, r in zip(shape, raw)], columns=["type", "normalized", "private"], dtype=object)
+_FOUND = T.ArrayType(T.StructType([T.StructField(n, t) for n, t in (("type", T.StringType()), ("raw", T.StringType()), ("normalized", T.StringType()), ("private", T.BooleanType()))]))
+
+
+@F.pandas_udf(_FOUND)
+def prove(found: pd.Series) -> pd.Series:
+    """The candidates of each row that are proved. Base-58 ones of all rows of a batch are converted together."""
+    found = [[] if r is None else list(r) for r in found]
+    legacy = sorted({c["raw"] for r in found for c in r if c["shape"] == "legacy"})
+    version = dict(zip(legacy, base58_versions(legacy)))
+
+    def one(c) -> tuple | None:
+        if c["shape"] == "legacy":
+            kind = LEGACY.get(version[c["raw"]])
+            return (kind, c["raw"], None) if kind else None
+        return proved(c["shape"], c["raw"])
+
+    return pd.Series([[{"type": p[0], "raw": c["raw"], "normalized": p[1], "private": p[2]} for c in r if (p := one(c))] for r in found])
 
 
 def _shaped(shape: str, pattern: str, text: Column) -> Column:
@@ -161,8 +175,13 @@ def candidates(text: Column) -> Column:
     return F.flatten(F.array(*found))
 
 
+def proved_mentions(text: Column) -> Column:
+    """ARRAY<STRUCT<type, raw, normalized, private>> of the proved addresses of a text; only candidates go through Python."""
+    return prove(candidates(text))
+
+
 def addresses(rows: DataFrame, text: str = "text") -> DataFrame:
     """All other columns of rows, and type, raw, normalized and private of each proved address of the text."""
     others = [c for c in rows.columns if c != text]
-    some = rows.select(*others, F.explode(candidates(F.col(text))).alias("__c"))
-    return some.select(*others, F.col("__c.raw").alias("raw"), _prove("__c.shape", "__c.raw").alias("__p")).where("__p.type is not null").select(*others, "__p.type", "raw", "__p.normalized", "__p.private")
+    some = rows.select(*others, candidates(F.col(text)).alias("__c")).where(F.size("__c") > 0)
+    return some.select(*others, F.explode(prove("__c")).alias("__p")).select(*others, "__p.*")

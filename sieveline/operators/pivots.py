@@ -5,19 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import detect
+from ..functions import addresses, detect
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """Small tables come as one split; only those are dealt out to all cores before the patterns run."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if rows.isStreaming or rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+    """Deal the texts out to all cores before the patterns run, where the files behind them are too few splits for that."""
+    session = rows.sparkSession
+    if rows.isStreaming:
+        return rows
+    cores, split = session.sparkContext.defaultParallelism, int(session._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows if size >= cores * split else rows.repartition(cores)
 
 
 def mentions(passages: DataFrame, types: set[str] | None = None) -> DataFrame:
-    """path, seq, pos, type, raw and normalized: all detectors in one pass over the texts."""
-    found = spread(passages).select("path", "seq", F.posexplode(detect.mentions(F.col("text"), types)).alias("pos", "m"))
-    return found.select("path", "seq", "pos", "m.type", "m.raw", "m.normalized")
+    """path, seq, pos, type, raw, normalized and private: all detectors in one pass over the texts.
+
+    With a column `where` in passages, it is the name of the field that a text comes from. What big checksums prove is
+    found in the same pass; only its candidates go through Python.
+    """
+    text, where = F.col("text"), F.col("where") if "where" in passages.columns else None
+    found = detect.mentions(text, types, where)
+    own = spread(passages)
+    if types is None or types & PROVED:
+        some = own.select("path", "seq", found.alias("m"), addresses.candidates(text).alias("c"))
+        proved = F.when(F.size("c") > 0, addresses.prove(F.when(F.size("c") > 0, F.col("c"))))
+        if types is not None:
+            proved = F.filter(proved, lambda m: m["type"].isin(*sorted(types & PROVED)))
+        own = some.select("path", "seq", F.posexplode(F.concat("m", F.coalesce(proved, F.expr("cast(array() as " + addresses.FOUND + ")")))).alias("pos", "m"))
+    else:
+        own = own.select("path", "seq", F.posexplode(found).alias("pos", "m"))
+    return own.select("path", "seq", "pos", "m.type", "m.raw", "m.normalized", "m.private")
+
+
+#: Types that addresses.py proves.
+PROVED = frozenset({"btc", "ltc", "doge", "bch", "xmr", "eth", "onion", "ipv6"})
 
 
 def identifiers(found: DataFrame) -> DataFrame:

@@ -34,27 +34,33 @@ def _list(words) -> str:
 
 _FILES = """files AS (SELECT 'documents/' || doc_id || '.txt' AS path, doc_id || '.txt' AS name, 'txt' AS suffix, CAST(coalesce(strlen(text), 0) AS BIGINT) AS size, sha256(text) AS sha256 FROM documents
  UNION ALL SELECT 'pages/' || page_id || '.html', page_id || '.html', 'html', CAST(coalesce(strlen(html), 0) AS BIGINT), sha256(html) FROM pages)"""
-_PASSAGES = """passages AS (SELECT * FROM (SELECT 'documents/' || doc_id || '.txt' AS path, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS seq, unnest(string_split(text, chr(10))) AS text FROM documents
- UNION ALL SELECT 'pages/' || page_id || '.html', 0, url FROM pages) WHERE text <> '')"""
+# pages as a parser reads them, for markup as plain as theirs: tags cut texts, scripts and styles have none, tags give links
+_MARKUP = r"""list_transform(regexp_extract_all(regexp_replace(regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->', '<!>', 'g'), '(?s)(<(?:script|style)[^>]*>).*?</(?:script|style)>', '\1', 'g'), '<[^>]*>|[^<]+'),
+  lambda t: CASE WHEN regexp_matches(t, '^<[a-zA-Z]') THEN regexp_extract_all(t, '(?i)[\s"](?:href|src|cite|action|data|longdesc|poster)="([^"]*)"', 1) WHEN starts_with(t, '<') THEN CAST([] AS VARCHAR[])
+  ELSE [replace(replace(replace(replace(replace(t, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')] END)"""
+_PASSAGES = f"""passages AS (SELECT * FROM (SELECT 'documents/' || doc_id || '.txt' AS path, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS seq, unnest(string_split(text, chr(10))) AS text FROM documents
+ UNION ALL SELECT path, generate_subscripts(parts, 1) - 1, unnest(parts) FROM (SELECT 'pages/' || page_id || '.html' AS path, [url] || flatten({_MARKUP}) AS parts FROM pages)
+ UNION ALL SELECT 'conversations/' || conv_id, turn, text FROM conversations) WHERE text <> '')"""
 _EVIDENCE = "evidence AS (SELECT 'user/' || user_id AS path, event_id AS seq, CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in EVENTS.items()) + " END AS source, ts AS at, value FROM events)"
 _CATEGORY = "CASE source " + " ".join(f"WHEN '{k}' THEN '{v[0]}'" for k, v in V.SOURCES.items()) + " END"
 _PRIORITY = "CASE source " + " ".join(f"WHEN '{k}' THEN {v[1]}" for k, v in V.SOURCES.items()) + " END"
 _STAMP = "strftime({}, '%Y-%m-%dT%H:%M:%SZ')"
-_TLD = f"(regexp_matches({{0}}, '^[a-z]{{{{2}}}}$') OR {{0}} IN ({_list(N.TLDS)}))"
+# any two letters here, countries there: the tables have no others
+_TLD = f"(regexp_matches({{0}}, '^[a-z]{{{{2}}}}$') OR {{0}} IN ({_list(N.TLDS + N.TLDS_MORE)}))"
 
 
 def _domain(host: str) -> str:
     return f"CASE WHEN contains({host}, '.') AND {_TLD.format(f'''string_split({host}, '.')[-1]''')} THEN {host} END"
 
 
-_CLEAN = r"regexp_replace(raw, '[.,;:!?)\]}>''\"]+$', '')"
+_CLEAN = r"regexp_replace(raw, '[.,;:!?)\]}>''\"`]+$', '')"
 _URL = rf"""lower(regexp_extract({_CLEAN}, '^([A-Za-z]+)://', 1)) || '://' || lower(regexp_extract({_CLEAN}, '^[^:]+://([^/?#]*)', 1)) || regexp_replace(regexp_extract({_CLEAN}, '^[^:]+://[^/?#]*([^?#]*)', 1), '/+$', '')
  || CASE WHEN regexp_extract({_CLEAN}, '^[^?#]*\?([^#]*)', 1) <> '' THEN '?' || regexp_extract({_CLEAN}, '^[^?#]*\?([^#]*)', 1) ELSE '' END"""
 _MENTIONS = rf"""email0 AS (SELECT path, seq, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+\-]+@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?)+')) AS raw FROM passages WHERE contains(text, '@')),
  url0 AS (SELECT path, seq, unnest(regexp_extract_all(text, '(?i)https?://[^\s<>"''`\](){{}}]+')) AS raw FROM passages),
  ip0 AS (SELECT path, seq, unnest(regexp_extract_all(' ' || regexp_replace(text, '([^\p{{L}}\p{{N}}_.\-])', '\1\1', 'g') || ' ', '[^\p{{L}}\p{{N}}_.\-]([0-9]{{1,3}}(?:\.[0-9]{{1,3}}){{3}})[^\p{{L}}\p{{N}}_.\-]', 1)) AS raw FROM passages WHERE contains(text, '.')),
  hash0 AS (SELECT path, seq, unnest(regexp_extract_all(' ' || regexp_replace(text, '([^A-Za-z0-9\-])', '\1\1', 'g') || ' ', '[^A-Za-z0-9\-]([A-Fa-f0-9]{{32}}|[A-Fa-f0-9]{{40}}|[A-Fa-f0-9]{{64}}|[A-Fa-f0-9]{{128}})[^A-Za-z0-9\-]', 1)) AS raw FROM passages),
- mentions AS (SELECT path, seq, 'email' AS type, regexp_replace(lower(raw), '^[._%+\-]+', '') AS normalized FROM email0 WHERE ({_domain("lower(string_split(raw, '@')[2])")}) IS NOT NULL
+ mentions AS (SELECT path, seq, 'email' AS type, regexp_replace(lower(raw), '^[.%+\-]+', '') AS normalized FROM email0 WHERE ({_domain("lower(string_split(raw, '@')[2])")}) IS NOT NULL
  UNION ALL SELECT path, seq, 'url', {_URL} FROM url0
  UNION ALL SELECT path, seq, 'ipv4', raw FROM ip0 WHERE len(list_filter(string_split(raw, '.'), lambda o: CAST(o AS INTEGER) > 255 OR (len(o) > 1 AND starts_with(o, '0')))) = 0
  UNION ALL SELECT path, seq, CASE len(raw) WHEN 32 THEN 'md5' WHEN 40 THEN 'sha1' WHEN 64 THEN 'sha256' ELSE 'sha512' END, lower(raw) FROM hash0),
@@ -87,10 +93,16 @@ _pivot("pivot_digest", {"digest"}, "type IN ('md5', 'sha1', 'sha256', 'sha512')"
 
 @query()
 def pivot_all(spark, d):
-    """Every detector of DETECTORS in one pass; README lists the types that have none there."""
+    """Every detector, and what big checksums prove, in one pass."""
     return pivots.identifiers(pivots.mentions(passages(spark, d)))
 
 
+@query()
+def pivot_domain(spark, d):
+    """Hosts of mails, urls and shares, and names that stand alone."""
+    return pivots.identifiers(pivots.mentions(passages(spark, d), {"domain"}))
+
+
 @query(_WITH + "SELECT * FROM identifiers WHERE files > 1")
 def shared_pivots(spark, d):
     return pivots.shared(_ids(spark, d))
@@ -197,7 +209,7 @@ def origin_state(spark, d):
     return correlate.origin_states(rows)
 
 
-_TRACES = "traces AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'documents/' || doc_id || '.txt' ELSE '/home/u/' || doc_id || '.txt' END AS target, CASE WHEN doc_id % 3 = 0 THEN strlen(text) ELSE 1 END AS bytes FROM documents WHERE doc_id % 5 < 3)"
+_TRACES = "traces AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'documents/' || doc_id || '.txt' ELSE '/home/u/' || doc_id || '.txt' END AS target, CASE WHEN doc_id % 3 = 0 THEN strlen(text) ELSE 1 END AS bytes FROM documents)"
 
 
 def _traces(spark, d):
@@ -300,15 +312,19 @@ def checksum_aba(spark, d):
 
 @query()
 def redacted_text(spark, d):
-    """Documents with a credential, redacted."""
-    own = table(spark, d, "documents").where(redact.looks_secret(F.col("text")))
-    return own.select("doc_id", redact.redact(F.col("text")).alias("text"))
+    """Every document, redacted."""
+    return table(spark, d, "documents").select("doc_id", redact.redact(F.col("text")).alias("text"))
+
+
+_QUERY = "list_transform(string_split(regexp_extract(url, '[?]([^#]*)', 1), '&'), lambda p: CASE WHEN lower(string_split(p, '=')[1]) IN ({}) AND regexp_extract(p, '=(.*)', 1) <> '' THEN string_split(p, '=')[1] || '=[REDACTED:query:' || left(sha256(regexp_extract(p, '=(.*)', 1)), 12) || ']' ELSE p END)"
+_MASKED = "CASE WHEN contains(url, '?') THEN regexp_extract(url, '^([^?]*)', 1) || '?' || array_to_string({}, '&') || regexp_extract(url, '(#.*)$', 1) ELSE url END"
+_MORE_KEYS = (*redact.QUERY_KEYS, "ref", "utm_source")
 
 
-@query("SELECT page_id, regexp_replace(url, '([?&](ref|key|token)=)[^&#]+', '\\1[REDACTED]', 'g') AS url FROM (SELECT page_id, replace(url, '?utm_source=', '?token=') AS url FROM pages WHERE url NOT LIKE '%ref=%')")
+@query(f"SELECT page_id, {_MASKED.format(_QUERY.format(_list(redact.QUERY_KEYS)))} AS url, {_MASKED.format(_QUERY.format(_list(_MORE_KEYS)))} AS without_referrer FROM pages")
 def redacted_url(spark, d):
-    own = table(spark, d, "pages").withColumn("url", F.replace("url", F.lit("?utm_source="), F.lit("?token=")))
-    return own.select("page_id", redact.redact_url(F.col("url")).alias("url"))
+    """Every page's url without credentials, and also without what says where its reader came from."""
+    return table(spark, d, "pages").select("page_id", redact.redact_url(F.col("url")).alias("url"), redact.redact_url(F.col("url"), _MORE_KEYS).alias("without_referrer"))
 
 
 @query()

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 # A start tag, the tokens of a page in order, its attributes, those that carry an address, and character references.
 _TAG = r"""<[a-zA-Z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
-_TOKEN = rf"""(?is)<!--.*?(?:--!?>|\z)|<(script|style)(?=[\s/>])(?:[^>"']++|"[^"]*+"|'[^']*+')*+>.*?(?:</\1\b[^>]*>|\z)|</[a-z][^>]*>|<[!?/][^>]*>|{_TAG}|(?:[^<]++|<(?![a-z!?/]))++|<"""
-_ATTRIBUTE = r"""(?s)[^\s/>"'=]+\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>]*)|[^\s/>"'=]+|"[^"]*"|'[^']*'"""
+# What opens and is never closed goes on to the end, or to the mark that spoils it: so nothing is read over twice.
+_TOKEN = rf"""(?is)<!--.*?(?:--!?>|\z)|<(script|style)(?=[\s/>])(?:[^>"']++|"[^"]*+"|'[^']*+')*+>.*?(?:</\1\b[^>]*+(?:>|\z)|\z)|</[a-z][^>]*+(?:>|\z)|<[!?/][^>]*+(?:>|\z)|<[a-z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>?|(?:[^<]++|<(?![a-z!?/]))++|<"""
+_ATTRIBUTE = r"""(?s)[^\s/>"'=]++\s*+=\s*+(?:"[^"]*"|'[^']*'|[^\s>]*)|[^\s/>"'=]++|"[^"]*"|'[^']*'"""
 _LINK = r"""(?is)^(?:href|src|cite|action|data|longdesc|poster)\s*="""
 _REFERENCE = r"(?s)&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*)[;=]?|[^&]+|&"
 _NAMES = {f"&{k}": v for k, v in html.entities.html5.items()}
@@ -55,5 +56,5 @@ def passages(source: Column) -> Column:
     """ARRAY<STRING>: each run of text between tags, and each address of a tag, in page order."""
     none = F.expr("cast(array() as array<string>)")
     tokens = F.regexp_extract_all(source, F.lit(_TOKEN), F.lit(0))
-    part = lambda t: F.when(t.rlike("^<[a-zA-Z]"), _links(t)).when(t.rlike("^<[/!?]"), none).otherwise(F.array(_decoded(t)))
+    part = lambda t: F.when(t.rlike("^<[a-zA-Z]") & t.endswith(">"), _links(t)).when(t.rlike("^<[/!?]"), none).otherwise(F.array(_decoded(t)))
     return F.coalesce(F.flatten(F.transform(tokens, part)), none)
