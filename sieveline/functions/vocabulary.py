@@ -13,6 +13,13 @@ SOURCES = {
     "freedesktop-trash": ("activity", 45), "shell-history": ("origin", 40), "sync-folder": ("activity", 38), "windows-recent": ("activity", 36), "recent-documents": ("activity", 35),
     "email-header": ("metadata", 30), "messenger-name": ("origin", 25), "file-signature": ("metadata", 20), "filesystem": ("activity", 10),
 }
+# How a record of each source is tied to its file, unless it says so itself.
+MATCHES = {
+    "browser-download": "recorded-path", "windows-zone-identifier": "file-attribute", "macos-wherefroms": "file-attribute", "macos-quarantine": "filename", "xdg-xattr": "file-attribute", "ytdlp-sidecar": "sidecar",
+    "email-delivery": "embedded", "email-relay": "embedded", "email-header": "embedded", "archive-member": "container-member", "embedded-file": "container-member", "torrent": "name+size", "messenger-name": "filename",
+    "shell-history": "filename", "c2pa": "embedded", "device-metadata": "embedded", "xmp": "embedded", "xmp-history": "embedded", "iptc": "embedded", "document-metadata": "embedded", "file-signature": "embedded",
+    "recent-documents": "recorded-path", "windows-recent": "name+size", "sync-folder": "sync-root", "freedesktop-trash": "sidecar", "filesystem": "file-attribute",
+}
 # Tools of a shell that fetch a file; a shell record of another tool is activity.
 FETCH_TOOLS = ("curl", "wget", "aria2c", "scp", "rsync", "git", "yt-dlp", "youtube-dl")
 # Suffixes of the file families that tables of documents and pages need, in order of precedence.
@@ -38,6 +45,10 @@ def priority(source: Column) -> Column:
     return _lookup(source, {k: v[1] for k, v in SOURCES.items()}, 0)
 
 
+def default_match(source: Column) -> Column:
+    return _lookup(source, MATCHES, "recorded-path")
+
+
 def suffix(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"[^/\\]\.([A-Za-z0-9]+)$", 1))
 

@@ -28,7 +28,7 @@ def merged(rows: DataFrame) -> DataFrame:
 
 def nodes(found: DataFrame) -> DataFrame:
     """Ends of all edges with their degree."""
-    ends = found.select(F.col("source").alias("id")).unionByName(found.select(F.col("target").alias("id")))
+    ends = found.select(F.explode(F.array("source", "target")).alias("id"))
     return ends.groupBy("id").agg(F.count("*").alias("degree")).select("id", F.regexp_extract("id", "^([^:]+):", 1).alias("type"), "degree")
 
 

@@ -37,7 +37,3 @@ def clusters(attributes: DataFrame, least: int = 2) -> DataFrame:
     """axis, name and number of paths from (axis, name, path, seq): names that differ in case are one; the first spelling shows."""
     own = attributes.where("name is not null").withColumn("key", N.name(F.col("name")))
     return own.groupBy("axis", "key").agg(F.min_by("name", F.struct("seq", "path")).alias("name"), F.count_distinct("path").alias("paths")).where(F.col("paths") >= least)
-
-
-def by_size(groups: DataFrame) -> DataFrame:
-    return groups.withColumn("place", F.row_number().over(Window.partitionBy("axis").orderBy(F.desc("paths"), "name")))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
+from .ordered import reference, running
 
 
 def inventory(files: DataFrame) -> DataFrame:
@@ -28,21 +29,9 @@ def copies(files: DataFrame) -> DataFrame:
     return files.where("size > 0").groupBy("sha256").agg(F.count("*").alias("files"), F.min("path").alias("first"), F.max("size").alias("size")).where("files > 1")
 
 
-def references(files: DataFrame, buckets: int = 64) -> DataFrame:
-    """path and its reference #001, ... in the order of falling size, then path.
-
-    Sizes are cut into ranges, each numbered on its own and shifted by the number of files before it, so that no
-    single task sorts all files.
-    """
-    spark = files.sparkSession
-    edges = sorted({int(x) for x in files.approxQuantile("size", [i / buckets for i in range(1, buckets)], 0.001)}, reverse=True)
-    own = files.select("path", "size", F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: F.col("size") < e)).alias("part") if edges else F.lit(0).alias("part"))
-    n = own.groupBy("part").agg(F.count("*").alias("n"))
-    before = n.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    place = F.row_number().over(Window.partitionBy("part").orderBy(F.desc("size"), "path"))
-    numbered = own.withColumn("at", place).join(F.broadcast(before), "part")  # a row for each range of sizes
-    k = (F.col("at") + F.col("before")).cast("string")
-    return numbered.select("path", F.concat(F.lit("#"), F.when(F.length(k) < 3, F.lpad(k, 3, "0")).otherwise(k)).alias("ref"))
+def references(files: DataFrame) -> DataFrame:
+    """path and its reference #001, ... in the order of falling size, then path."""
+    return running(files.select("path", "size"), [F.desc("size"), F.col("path").asc()]).select("path", reference(F.col("place")).alias("ref"))
 
 
 def page(rows: DataFrame, order: list, offset: int = 0, limit: int = 50) -> DataFrame:

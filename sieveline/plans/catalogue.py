@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import addresses as A
 from ..functions import checksums as C
+from ..functions import moments as M
 from ..functions import normalize as N
 from ..functions import vocabulary as V
-from ..operators import correlate, graph, lineage, overview, pivots, redact
+from ..operators import case, correlate, findings, graph, lineage, ordered, overview, pivots, redact
 from ..sources.tables import EVENTS, evidence, files, passages, table
 
 QUERIES: dict = {}
@@ -331,3 +332,148 @@ def redacted_url(spark, d):
 def proved_addresses(spark, d):
     """Wallets, onion services and IPv6 addresses of all passages, with their counts."""
     return A.addresses(passages(spark, d)).groupBy("path", "type", "normalized", "private").agg(F.count(F.lit(1)).alias("count"))
+
+
+# Records of users with everything that findings look at: sources in turn, addresses, sizes and the fields of two blocks.
+_KINDS = ("browser-download", "macos-wherefroms", "document-metadata", "shell-history", "xmp-history", "torrent", "xmp")
+_RECORDS = f"""records AS (SELECT 'user/' || user_id AS path, event_id AS seq, [{_list(_KINDS)}][1 + event_id % 7] AS source, CASE WHEN event_id % 2 = 0 THEN 'curl' ELSE 'vim' END AS tool, {_STAMP.format('ts')} AS at,
+ CASE WHEN event_id % 5 < 2 THEN 'https://s' || event_id % 3 || '.example.com/p/' || event_id % 2 END AS url, event_id % 3 AS bytes, {_STAMP.format("ts + to_days(CAST(event_id % 3 - 1 AS INTEGER))")} AS changed, 't' || event_id % 2 AS title, ts FROM events),
+ cat AS (SELECT *, CASE WHEN source = 'shell-history' AND tool <> 'curl' THEN 'activity' ELSE {_CATEGORY} END AS category FROM records)"""
+
+
+def _records(spark, d):
+    e, k = table(spark, d, "events"), F.col("event_id")
+    stamp = N.stamp(F.col("ts"))
+    source = F.get(F.array(*[F.lit(x) for x in _KINDS]), (k % 7).cast("int"))
+    changed = N.stamp(F.col("ts") + F.make_dt_interval(days=(k % 3 - 1).cast("int")))
+    title = F.concat(F.lit("t"), (k % 2).cast("string"))
+    pair = lambda *names: F.create_map(F.lit(names[0]), stamp, F.lit(names[1]), changed, F.lit(names[2]), title, F.lit(names[3]), F.lit("A"))
+    fields = F.when(source == "document-metadata", pair("CreationDate", "ModDate", "Title", "Author")).when(source == "xmp", pair("xmp:CreateDate", "xmp:ModifyDate", "dc:title", "dc:creator"))
+    return e.select(
+        F.concat(F.lit("user/"), F.col("user_id").cast("string")).alias("path"), k.alias("seq"), source.alias("source"), F.when(k % 2 == 0, "curl").otherwise("vim").alias("tool"), stamp.alias("at"),
+        F.when(k % 5 < 2, F.format_string("https://s%d.example.com/p/%d", k % 3, k % 2)).alias("url"), F.lit(None).cast("string").alias("match"), (k % 3).alias("bytes"), F.lit(1).cast("long").alias("size"),
+        F.when(source == "document-metadata", "pdf-info").when(source == "xmp", "xmp").alias("block"), fields.alias("fields"),
+    )
+
+
+_FINDINGS = _RECORDS + """, addressed AS (SELECT * FROM cat WHERE category = 'origin' AND url IS NOT NULL),
+ states AS (SELECT path, count(*) AS n, count(DISTINCT url) AS keys, count(DISTINCT regexp_extract(url, '//([^/]*)', 1)) AS hosts, array_agg(source ORDER BY seq) AS who FROM addressed GROUP BY path),
+ named AS (SELECT *, CASE WHEN n = 1 THEN 'single source' WHEN keys = 1 THEN 'agreement' WHEN hosts = 1 THEN 'partial agreement' ELSE 'conflict' END AS state FROM states),
+ steps AS (SELECT path, seq, at, lag(at) OVER (PARTITION BY path ORDER BY seq) AS earlier FROM cat WHERE source = 'xmp-history'),
+ back AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY seq) AS k FROM steps WHERE earlier > at),
+ ends AS (SELECT path, min(ts) FILTER (WHERE category = 'origin') AS t0, max(ts) FILTER (WHERE category = 'metadata') AS t1, min(at) FILTER (WHERE category = 'origin') AS a0, max(at) FILTER (WHERE category = 'metadata') AS a1 FROM cat GROUP BY path),
+ pdf AS (SELECT * FROM cat WHERE source = 'document-metadata' QUALIFY row_number() OVER (PARTITION BY path ORDER BY seq) = 1),
+ xmp AS (SELECT * FROM cat WHERE source = 'xmp' QUALIFY row_number() OVER (PARTITION BY path ORDER BY seq) = 1),
+ found AS (SELECT path, 'corroboration' AS kind, 'origin URL' AS field, who[1] AS said, who[2] AS also FROM named WHERE state = 'agreement'
+ UNION ALL SELECT a.path, CASE WHEN state = 'conflict' THEN 'source_conflict' ELSE 'path_disagreement' END, 'origin URL', a.source, a.url FROM addressed a JOIN named USING (path) WHERE state IN ('conflict', 'partial agreement')
+ UNION ALL SELECT path, 'timeline_conflict', NULL, a1, a0 FROM ends WHERE t1 > t0 + INTERVAL 5 MINUTE
+ UNION ALL SELECT path, 'impossible_order', CASE source WHEN 'xmp' THEN 'xmp:CreateDate / xmp:ModifyDate' ELSE 'CreationDate / ModDate' END, at, changed FROM cat WHERE source IN ('document-metadata', 'xmp') AND at > changed
+ UNION ALL SELECT path, 'impossible_order', NULL, earlier, at FROM back WHERE k = 1
+ UNION ALL SELECT path, CASE WHEN bytes > 1 THEN 'size_mismatch' WHEN source = 'torrent' THEN 'size_corroboration' ELSE 'weak_match' END, CASE WHEN bytes <= 1 AND source <> 'torrent' THEN 'match' ELSE 'size' END, CASE WHEN bytes > 1 THEN CAST(bytes AS VARCHAR) END, CASE WHEN bytes > 1 THEN '1' END
+  FROM cat WHERE category = 'origin' AND source IN ('torrent', 'shell-history')
+ UNION ALL SELECT p.path, 'attribution_conflict', f, CASE f WHEN 'Title' THEN p.title WHEN 'CreationDate' THEN p.at ELSE p.changed END, CASE f WHEN 'Title' THEN x.title WHEN 'CreationDate' THEN x.at ELSE x.changed END
+  FROM pdf p JOIN xmp x USING (path), (SELECT unnest(['Title', 'CreationDate', 'ModDate']) AS f) WHERE CASE f WHEN 'Title' THEN p.title <> x.title WHEN 'CreationDate' THEN p.at <> x.at ELSE p.changed <> x.changed END)"""
+
+
+@query(f"WITH {_FINDINGS} SELECT * FROM found")
+def correlation_findings(spark, d):
+    return findings.findings(_records(spark, d)).select("path", "kind", "field", F.col("left").alias("said"), F.col("right").alias("also"))
+
+
+@query(f"WITH {_FINDINGS}, k AS (SELECT path, bool_or(kind IN ({_list(findings.CONFLICTS)})) AS bad, bool_or(kind = 'attribution_conflict') AS att, bool_or(kind = 'impossible_order') AS imp FROM found GROUP BY path), "
+       "p AS (SELECT DISTINCT path FROM records), s AS (SELECT p.path, coalesce(state, 'no origin record') AS state, k.* EXCLUDE (path), k.path IS NOT NULL AS told FROM p LEFT JOIN named USING (path) LEFT JOIN k ON k.path = p.path) "
+       "SELECT path, state, CASE WHEN state IN ('agreement', 'partial agreement', 'conflict') THEN state WHEN att THEN 'contested' WHEN imp THEN 'self-contradictory' ELSE state END AS headline, state IN ('partial agreement', 'conflict') OR coalesce(bad, false) AS contested, "
+       "state IN ('agreement', 'partial agreement', 'conflict') OR told AS notable FROM s")
+def correlation_verdicts(spark, d):
+    return findings.verdicts(_records(spark, d))
+
+
+@query(f"WITH {_FINDINGS}, t AS (SELECT path, bool_or(category = 'metadata') AS metadata, bool_or(category = 'origin') AS origin, bool_or(category = 'activity') AS activity, bool_or(source = 'document-metadata' OR source = 'xmp') AS author, bool_or(source = 'xmp-history') AS edited FROM cat GROUP BY path), "
+       f"c AS (SELECT count(DISTINCT path) AS n FROM found WHERE kind IN ({_list(findings.CONFLICTS)})), n AS (SELECT count(*) AS all_, count_if(metadata) AS m, count_if(origin) AS o, count_if(activity) AS a, count_if(author) AS w, count_if(edited) AS e FROM t) "
+       "SELECT unnest(['metadata', 'origin', 'activity', 'author', 'tool', 'device', 'credentials', 'coordinates', 'place', 'edited', 'dated', 'related', 'contested']) AS tally, unnest(CAST([m, o, a, w, all_, 0, 0, 0, 0, e, all_, 0, c.n] AS BIGINT[])) AS files FROM n, c")
+def case_tallies(spark, d):
+    own = _records(spark, d)
+    return case.tallies(own, contested=findings.verdicts(own).where("contested"))
+
+
+@query(f"WITH {_FINDINGS}, f AS (SELECT path, category, source, min(seq) AS seq FROM cat GROUP BY ALL) SELECT path, category, array_to_string(array_agg(source ORDER BY seq), ' ') AS sources FROM f GROUP BY path, category")
+def category_sources(spark, d):
+    return case.categories(_records(spark, d)).withColumn("sources", F.array_join("sources", " "))
+
+
+@query(_WITH + "SELECT type, normalized, count, files, row_number() OVER (PARTITION BY type ORDER BY count DESC, normalized) AS place FROM identifiers")
+def identifiers_ordered(spark, d):
+    ids = _ids(spark, d)
+    order = [F.col("type").asc(), F.desc("count"), F.col("normalized").asc()]
+    numbered = ordered.running(ids, order)
+    first = numbered.groupBy("type").agg(F.min("place").alias("first"))
+    return numbered.join(first, "type").select("type", "normalized", "count", "files", (F.col("place") - F.col("first") + 1).alias("place"))
+
+
+@query(_WITH + "SELECT 'P' || lpad(CAST(row_number() OVER (ORDER BY files DESC, count DESC, type, normalized) AS VARCHAR), 2, '0') AS ref, type, normalized, count, files FROM identifiers WHERE files > 1 ORDER BY files DESC, count DESC, type, normalized LIMIT 8")
+def shared_report(spark, d):
+    """The eight values that most files share: a report, so the limit is the feature."""
+    return case.shared_pivots(_ids(spark, d)).select("ref", "type", "normalized", "count", "files")
+
+
+@query(_WITH + "SELECT type, normalized, array_to_string(list_sort(array_agg(DISTINCT split_part(path, '/', 1))), ' ') AS corpora FROM mentions GROUP BY type, normalized HAVING count(DISTINCT split_part(path, '/', 1)) > 1")
+def cross_corpus(spark, d):
+    return case.across_corpora(_found(spark, d), F.split("path", "/")[0]).withColumn("corpora", F.array_join("corpora", " "))
+
+
+@query(_WITH + "SELECT type, normalized, path, seq, count FROM (SELECT type, normalized, path, seq, count(*) AS count, row_number() OVER (PARTITION BY type, normalized, path ORDER BY seq) AS k FROM mentions GROUP BY type, normalized, path, seq) WHERE k <= 100")
+def identifier_places(spark, d):
+    return case.places(_found(spark, d))
+
+
+@query(f"WITH {_FILES}, m AS (SELECT 'archive/' || doc_id % 7 AS container, doc_id || '.txt' AS name, CAST(coalesce(strlen(text), 0) + doc_id % 2 AS BIGINT) AS size FROM documents) SELECT DISTINCT f.path, m.container FROM files f JOIN m USING (name, size)")
+def archive_members(spark, d):
+    key = F.col("doc_id")
+    members = table(spark, d, "documents").select(F.concat(F.lit("archive/"), (key % 7).cast("string")).alias("container"), F.concat(key.cast("string"), F.lit(".txt")).alias("name"), (F.coalesce(F.octet_length("text"), F.lit(0)) + key % 2).cast("long").alias("size"))
+    return correlate.by_name_and_size(files(spark, d), members)
+
+
+@query("WITH f AS (SELECT 'user/' || user_id AS path, user_id AS id, 'n' || user_id % 50 AS name FROM (SELECT DISTINCT user_id FROM events)), e AS (SELECT o_orderkey AS event, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey END AS id, 'n' || o_orderkey % 400 AS name FROM orders), "
+       "x AS (SELECT path, event, 'id' AS basis FROM f JOIN e USING (id)) SELECT * FROM x UNION ALL SELECT path, event, 'name' FROM f JOIN e USING (name) WHERE path NOT IN (SELECT path FROM x)")
+def id_else_name(spark, d):
+    user = F.col("user_id")
+    own = table(spark, d, "events").select("user_id").distinct().select(F.concat(F.lit("user/"), user.cast("string")).alias("path"), user.alias("id"), F.concat(F.lit("n"), (user % 50).cast("string")).alias("name"))
+    key = F.col("o_orderkey")
+    events = table(spark, d, "orders").select(key.alias("event"), F.when(key % 2 == 0, F.col("o_custkey")).alias("id"), F.concat(F.lit("n"), (key % 400).cast("string")).alias("name"))
+    return correlate.by_id_else_name(own, events)
+
+
+@query(f"WITH {_FILES}, r AS (SELECT unnest(['documents', 'pages/', 'doc', 'documents/1.txt']) AS root, unnest([3, 1, 2, 4]) AS seq), p AS (SELECT path, rtrim(root, '/') AS root, seq FROM files JOIN r ON starts_with(path, rtrim(root, '/') || '/')) SELECT path, arg_min(root, seq) AS root FROM p GROUP BY path")
+def sync_roots(spark, d):
+    return correlate.by_root(files(spark, d), spark.createDataFrame([("documents", 3), ("pages/", 1), ("doc", 2), ("documents/1.txt", 4)], "root string, seq int"))
+
+
+@query(f"WITH {_FILES}, b AS (SELECT path, size, coalesce(sum(size) OVER (ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM files) SELECT path, size FROM b WHERE used < 500000")
+def byte_allowance(spark, d):
+    return ordered.within_budget(files(spark, d).select("path", "size"), [F.col("path").asc()], F.col("size"), 500000)
+
+
+_MOMENTS = "m AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ') WHEN 1 THEN strftime(ts, 'D:%Y%m%d%H%M%S') || '+02' || chr(39) || '00' || chr(39) WHEN 2 THEN strftime(ts, '%Y:%m:%d %H:%M:%S') ELSE strftime(ts, '%Y%m%d') END AS said, CASE event_id % 4 WHEN 1 THEN ts - INTERVAL 2 HOUR WHEN 3 THEN NULL ELSE ts END AS at FROM events)"
+
+
+@query(f"WITH {_MOMENTS}, d AS (SELECT event_id, said, at, date_diff('second', at, TIMESTAMP '2024-01-01 00:00:00') AS s FROM m) SELECT event_id, said, {_STAMP.format('at')} AS instant, CASE WHEN s IS NULL THEN NULL WHEN abs(s) >= 86400 THEN abs(s) // 86400 || ' day' || CASE WHEN abs(s) // 86400 = 1 THEN '' ELSE 's' END WHEN abs(s) >= 3600 THEN abs(s) // 3600 || ' hour' || CASE WHEN abs(s) // 3600 = 1 THEN '' ELSE 's' END WHEN abs(s) >= 60 THEN abs(s) // 60 || ' minute' || CASE WHEN abs(s) // 60 = 1 THEN '' ELSE 's' END ELSE abs(s) || ' second' || CASE WHEN abs(s) = 1 THEN '' ELSE 's' END END AS distance FROM d")
+def stated_moments(spark, d):
+    """Stamps in the spellings of ISO, PDF, EXIF and IPTC as instants."""
+    k, ts = F.col("event_id") % 4, F.col("ts")
+    said = F.when(k == 0, N.stamp(ts)).when(k == 1, F.concat(F.date_format(ts, "'D:'yyyyMMddHHmmss"), F.lit("+02'00'"))).when(k == 2, F.date_format(ts, "yyyy:MM:dd HH:mm:ss")).otherwise(F.date_format(ts, "yyyyMMdd"))
+    own = table(spark, d, "events").select("event_id", said.alias("said"))
+    return own.select("event_id", "said", M.iso(M.instant(F.col("said"))).alias("instant"), M.interval(M.instant(F.col("said")), F.lit("2024-01-01 00:00:00").cast("timestamp")).alias("distance"))
+
+
+@query("WITH a AS (SELECT 'author' AS axis, p_brand AS name, 'part/' || p_partkey AS path, p_partkey AS seq, 'brand' AS basis FROM part UNION ALL SELECT 'device', p_name, 'part/' || p_partkey, p_partkey, 'name' FROM part), g AS (SELECT axis, lower(trim(name)) AS key, arg_min(name, seq) AS name, arg_min(basis, seq) AS basis, count(DISTINCT path) AS paths FROM a GROUP BY 1, 2 HAVING count(DISTINCT path) >= CASE axis WHEN 'author' THEN 3 ELSE 2 END) SELECT *, CAST(row_number() OVER (PARTITION BY axis ORDER BY paths DESC, name, key) AS INTEGER) AS place FROM g")
+def shared_attributes(spark, d):
+    part = table(spark, d, "part")
+    row = lambda axis, name: part.select(F.lit(axis).alias("axis"), F.col(name).alias("name"), F.concat(F.lit("part/"), F.col("p_partkey").cast("string")).alias("path"), F.col("p_partkey").alias("seq"), F.lit(name[2:]).alias("basis"))
+    return case.placed(case.groups(row("author", "p_brand").unionByName(row("device", "p_name"))))
+
+
+@query(f"WITH {_FINDINGS}, o AS (SELECT path, at FROM cat WHERE category = 'metadata'), d AS (SELECT DISTINCT path, at FROM o), f AS (SELECT path, at, CAST(replace(path, 'user/', '') AS BIGINT) % 2 AS size FROM d) SELECT at, count(*) AS files, CASE WHEN min(size) <> max(size) THEN false ELSE true END AS identical FROM f GROUP BY at HAVING count(*) > 1")
+def same_second_bytes(spark, d):
+    own = _records(spark, d)
+    size = F.regexp_replace("path", "user/", "").cast("long") % 2
+    return case.same_second(own, own.select("path").distinct().select("path", size.alias("size"), F.sha2(size.cast("string"), 256).alias("sha256")))
