@@ -1,27 +1,30 @@
 """Mixing sources to target weights by entropy balancing.
 
 Documents start with the rate 1 and are tilted exponentially in their size, so that each source's expected words
-meet its target: the rate of a document of size x is 3 * sigmoid(lambda * x - ln 2), the solution of the convex
-problem that stays closest (in entropy) to rate 1 under the token constraints with rates between 0 and 3. The dual
-has one lambda a source; its Newton steps, kept in brackets, are aggregations in Spark over the sizes of each
+meet its target: the rate of a document of size x is min(3, exp(lambda * x)). That is the solution of the convex
+problem that stays closest to rate 1 in relative entropy, under the token constraint of its source and rates of 3 at most; the bound adds to the
+exponent a dual variable of the document, which is negative just where the bound holds and takes its rate to 3. So
+the dual has one free lambda a source; its Newton steps, kept in brackets, are aggregations in Spark over the sizes of each
 source and their numbers. Rates are then rounded into copies: systematic rounding along the sizes in each bucket
 of a source leaves a difference of about one document a bucket.
 
 Defined results: sizes count words; a null text has size 0; sources are ordered by code point, a null source is a
 source of its own and the last one; targets share the words of all documents by weight, never above 3 times a
-source's words; a source without words has target 0; ties in size are broken by a hash of the id; the same rows
-give the same copies on every run and partitioning; an empty table gives an empty one.
+source's words; a source without words has target 0; ties in size are broken by a hash of id and text, and rows that are
+equal in both may be taken in any order, with the same sum; the same rows give the same copies on every run and partitioning; an empty table gives an empty one; input columns with the names of result columns
+are replaced, all others are passed on, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from .common import WORD, cut, named, numbered
 
 WEIGHTS, MOST = (5.0, 2.0, 1.0), 3.0
 #: Documents of one source that are rounded together, about.
@@ -54,7 +57,7 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most: float =
 
 
 def _rate(lam: Column, x: Column, most: float) -> Column:
-    return F.lit(most) / (1 + F.lit(most - 1) * F.exp(F.least(F.greatest(-lam * x, F.lit(-700.0)), F.lit(700.0))))
+    return F.least(F.lit(most), F.exp(F.least(lam * x, F.lit(700.0))))
 
 
 def solve(sizes: DataFrame, aims: DataFrame, most: float = MOST) -> DataFrame:
@@ -68,7 +71,7 @@ def solve(sizes: DataFrame, aims: DataFrame, most: float = MOST) -> DataFrame:
     for _ in range(STEPS):
         r = _rate(F.col("__lambda"), z, most)
         step = sizes.join(state.select("__of", "__scale", "__lambda"), same).groupBy("__of").agg(
-            F.sum(r * F.col("__size") * F.col("__n")).alias("__got"), F.sum(r * (1 - r / most) * z * F.col("__size") * F.col("__n")).alias("__slope")
+            F.sum(r * F.col("__size") * F.col("__n")).alias("__got"), F.sum(F.when(r < most, r * z * F.col("__size") * F.col("__n")).otherwise(0.0)).alias("__slope")
         ).withColumnRenamed("__of", "__at")
         gap = F.col("__got") - F.col("__target")
         low = F.when(gap < 0, F.greatest("__low", "__lambda")).otherwise(F.col("__low"))
@@ -84,27 +87,29 @@ def solve(sizes: DataFrame, aims: DataFrame, most: float = MOST) -> DataFrame:
         if not state.where("__open").limit(1).count():
             break
         state = state.drop("__open")
+    else:
+        warnings.warn(f"words of a source are not within {CLOSE} of its target after {STEPS} steps; the last ones are taken", stacklevel=2)
     top, none = F.col("__target") >= most * F.col("__words") * (1 - 1e-9), F.col("__target") <= 0
     return state.withColumn("__lambda", F.when(F.col("__words") == 0, 0.0).when(none, float("-inf")).when(top, float("inf")).otherwise(F.col("__lambda")))
 
 
 def mix(docs: DataFrame, source: str = "source", text: str = "text", key: str = "doc_id", weights: Sequence[float] = WEIGHTS, most: float = MOST) -> DataFrame:
     """All columns of docs, and __size, __words and __target of its source, __rate and __copies."""
-    own = docs.withColumns({"__source": F.col(source).cast("string"), "__size": size(text)})
+    own = docs.select(*numbered(docs), F.col(source).cast("string").alias("__source"), size(text).alias("__size"), F.xxhash64(F.lit(77), F.col(key), F.col(text)).alias("__hash"), F.xxhash64(F.lit(78), F.col(key), F.col(text)).alias("__place"))
     # what Newton reads: how many documents of each size a source has
     sizes = cut(own.groupBy("__source", "__size").agg(F.count(F.lit(1)).alias("__n")))
     solved = solve(sizes, targets(sizes, weights, most), most).select("__of", "__words", "__docs", "__target", "__scale", "__lambda")
     infinite = F.abs("__lambda") == float("inf")
     rate = F.when(infinite, F.when(F.col("__lambda") > 0, most).otherwise(0.0)).otherwise(_rate(F.col("__lambda"), F.col("__size") / F.col("__scale"), most))
     met = own.join(solved, F.col("__source").eqNullSafe(F.col("__of"))).withColumn("__rate", rate)
-    hash_ = F.xxhash64(F.lit(77), F.col(key))
-    met = met.withColumns({"__hash": hash_, "__bucket": F.pmod(F.xxhash64(F.lit(78), F.col(key)), F.ceil(F.col("__docs") / BUCKET))})
-    w = Window.partitionBy("__source", "__bucket").orderBy("__size", "__hash", key)
+    met = met.withColumn("__bucket", F.pmod("__place", F.ceil(F.col("__docs") / BUCKET)))
+    w = Window.partitionBy("__source", "__bucket").orderBy("__size", "__hash", "__place")
     sofar = F.sum(F.col("__rate") - F.floor("__rate")).over(w.rowsBetween(Window.unboundedPreceding, 0))
     met = met.withColumn("__whole", F.floor(sofar + 0.5))
     extra = F.col("__whole") - F.coalesce(F.lag("__whole").over(w), F.lit(0))
     copies = F.least(F.floor("__rate") + F.greatest(extra, F.lit(0)), F.lit(math.floor(most))).cast("int")
-    return met.withColumn("__copies", copies).drop("__of", "__docs", "__scale", "__lambda", "__hash", "__bucket", "__whole", "__source")
+    added = ("__size", "__words", "__target", "__rate", "__copies")
+    return met.withColumn("__copies", copies).select(*named(docs, added), *added)
 
 
 def repeated(mixed: DataFrame, columns: Sequence[str]) -> DataFrame:
