@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import cut
+from .common import cut, frees, named, numbered
 from .components import components
 
 #: Words of a window, least similarity of a link.
@@ -37,6 +37,8 @@ K, SIMILAR = 5, 0.8
 BANDS, ROWS = 16, 4
 #: Buckets of at most so many texts have all pairs of different components compared; larger ones are filtered by prefixes.
 SMALL = 24
+#: Texts that meet by one window and size step in one part; more of them are dealt out to several.
+HOT = 1000
 
 _G, _LEVEL, _REG = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -110,6 +112,7 @@ def band_keys(regs: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+@frees
 def _signed(batches):
     for b in batches:
         keys, full = np.zeros((b.num_rows, BANDS), np.int64), np.zeros(b.num_rows, bool)
@@ -132,13 +135,6 @@ def _signed(batches):
         yield pa.RecordBatch.from_arrays([b.column("id"), b.column("copy"), pa.array(full), lists], ["id", "copy", "full", "bands"])
 
 
-def overlap(a: str, b: str, k: int = K) -> float:
-    """sum(min) / sum(max) over the windows of two texts."""
-    buf, offs = W.utf8(pa.array([a, b], pa.large_string()))
-    g, r, c = multiset(buf, offs, k)
-    return _overlap(*(_one(g[r == i], c[r == i]) for i in (0, 1)))
-
-
 def _one(g, c):
     order = np.argsort(g)
     return g[order], c[order]
@@ -158,6 +154,7 @@ def _overlap(a, b) -> float:
     return low / (total - low)
 
 
+@frees
 def _verify(similar: float, batches):
     last: dict[tuple[int, bytes], tuple] = {}  # by id and text, as an id can have several
     for b in batches:
@@ -200,6 +197,7 @@ def _split(shared: DataFrame, roots: DataFrame) -> DataFrame:
     return cut(rows.join(split, F.col("key") == F.col("k")).select("key", "id", "n", "root"))
 
 
+@frees
 def _windows(batches):
     for b in batches:
         ids = b.column("id").to_numpy(zero_copy_only=False)
@@ -230,8 +228,13 @@ def _prefix_pairs(members: DataFrame, texts: DataFrame, similar: float) -> DataF
     small = small.select("g", F.explode(F.sequence(F.floor(log - 1e-9), F.floor(log + 1 + 1e-9))).alias("step"), *[F.col(c).alias(f"{c}_a") for c in ("id", "root", "total", "rest")])
     large = rows.select("g", F.floor(log).alias("step"), *[F.col(c).alias(f"{c}_b") for c in ("id", "root", "total", "rest")])
     possible = (F.col("root_a") != F.col("root_b")) & (F.struct("total_a", "id_a") < F.struct("total_b", "id_b")) & (F.col("total_a") >= similar * F.col("total_b") - 1e-6)
+    # a window that many texts start with is dealt out: each part has some of the larger texts and all of the smaller ones
+    hot = cut(large.groupBy(F.col("g").alias("hot_g"), F.col("step").alias("hot_step")).agg(F.ceil(F.count(F.lit(1)) / HOT).cast("int").alias("parts")).where("parts > 1"))
+    dealt = lambda side: side.join(hot, (F.col("g") == F.col("hot_g")) & (F.col("step") == F.col("hot_step")), "left").drop("hot_g", "hot_step").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    large = dealt(large).withColumn("part", F.pmod(F.xxhash64("id_b"), F.col("parts")).cast("int")).drop("parts")
+    small = dealt(small).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     enough = F.least("rest_a", "rest_b") >= similar / (1 + similar) * (F.col("total_a") + F.col("total_b")) - 1e-6
-    return small.join(large, ["g", "step"]).where(possible & enough).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
+    return small.join(large, ["g", "step", "part"]).where(possible & enough).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
 
 
 def _apart(shared: DataFrame, texts: DataFrame, roots: DataFrame, tried: DataFrame, similar: float) -> DataFrame:
@@ -285,13 +288,12 @@ def _by_copy(signed: DataFrame, reps: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """One document of each class stays: the one with the smallest id (one row of it); rows without an id stay."""
-    gone = cut(classes(docs, similar).where("id <> class_id").select(F.col("id").alias("__gone")).distinct())
-    stay = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
-    ids = stay.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(F.col("doc_id").alias("__twice"))
-    if not ids.limit(1).count():
-        return stay
-    w = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    twice = cut(ids)
-    once = stay.join(twice, F.col("doc_id") == F.col("__twice"), "left_semi").withColumn("__row", F.row_number().over(w)).where("__row = 1").drop("__row")
-    return stay.join(twice, F.col("doc_id") == F.col("__twice"), "left_anti").unionByName(once)
+    """One document of each class stays: the one with the smallest id (one row of it, that of the smallest text hash); rows without an id stay."""
+    gone = cut(classes(docs, similar).where("id <> class_id").select(F.col("id").alias("gone")).distinct())
+    stay = docs.select(*numbered(docs), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash")).join(gone, F.col("id") == F.col("gone"), "left_anti")
+    twice = cut(stay.where("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("id").alias("twice")))
+    if twice.limit(1).count():
+        w = Window.partitionBy("id").orderBy("hash")
+        once = stay.join(twice, F.col("id") == F.col("twice"), "left_semi").withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
+        stay = stay.join(twice, F.col("id") == F.col("twice"), "left_anti").unionByName(once)
+    return stay.select(*named(docs))
