@@ -22,9 +22,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import frees
+
 #: Bounds on what a worker remembers: bytes of words and their ids in each of the two generations of a memo, and pairs
 #: of tokens. What is forgotten is computed again, never wrong.
-WORD_BYTES, PAIRS = 40 << 20, 300_000
+WORD_BYTES, PAIRS = 24 << 20, 200_000
 #: Tokens of one batch of output, but for a single longer document; rows that are turned into Python strings at once.
 BATCH_TOKENS, ROWS = 1 << 18, 256
 
@@ -223,6 +225,7 @@ def _texts(column: pa.Array):
         yield from column.slice(i, ROWS).to_pylist()
 
 
+@frees
 def _digests(path: str, pattern: str, batches):
     own = codec(path, pattern)
     for b in batches:
@@ -242,6 +245,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     )
 
 
+@frees
 def _encoded(path: str, pattern: str, batches):
     own = codec(path, pattern)
     for b in batches:
@@ -261,6 +265,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(functools.partial(_encoded, path, pattern), "doc_id long, n_tokens long, ids array<int>")
 
 
+@frees
 def _decoded(path: str, pattern: str, batches):
     own = codec(path, pattern)
     for b in batches:

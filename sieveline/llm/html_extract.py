@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SMALL_MB, cut, unit_hash
+from .common import SMALL_MB, cut, frees, unit_hash
 
 # Element names of HTML and words that sites use for what is around a text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -269,6 +269,7 @@ def host(url: Column) -> Column:
 _SEEN = "host string, path long, vote double, share double, links double, digest long"
 
 
+@frees
 def _vote(batches):
     for b in batches:
         rows = []
@@ -301,6 +302,7 @@ def winners(pages: DataFrame) -> DataFrame:
     )
 
 
+@frees
 def _extract(batches):
     for b in batches:
         texts = [read(x.as_py()).text(p, frozenset(k or ())) for x, p, k in zip(b.column("html"), b.column("path").to_pylist(), b.column("kept").to_pylist())]

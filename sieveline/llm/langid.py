@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import unit_hash
+from .common import frees, unit_hash
 
 #: Bound, for each language, on the expected number of labelled documents that the model is fitted on.
 SAMPLE = 1500
@@ -235,6 +235,7 @@ class _Labels:
             self.spans[r] = span if self.spans[r] is None else f"{self.spans[r]},{span}"
 
 
+@frees
 def _predict(model: Model, batches):
     k, names = len(model.langs), np.array([*model.langs, "und"], object)
     for b in batches:
@@ -276,6 +277,7 @@ def held_out():
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("0"))) % 4 == 2
 
 
+@frees
 def _counts(langs: list[str], batches):
     """Partial counts: kind 0 has 4-grams by bucket, kind 1 words by script."""
     number = {x: i for i, x in enumerate(langs)}

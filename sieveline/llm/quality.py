@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import unit_hash
+from .common import frees, unit_hash
 
 #: Bound on the labelled rows that the forest and its threshold are fitted on.
 SAMPLE = 6000
@@ -179,6 +179,7 @@ class Model:
         return ~failed & (score <= self.limit), score
 
 
+@frees
 def _sample_stats(batches):
     for b in batches:
         s = statistics(b.column("text"))
@@ -201,6 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return Model(features(s)[fine], (got["quality"].to_numpy() > 0)[fine], (got["grows"].to_numpy() > 0)[fine])
 
 
+@frees
 def _judge(model: Model, batches):
     for b in batches:
         s = statistics(b.column("text"))
@@ -217,6 +219,7 @@ def verdicts(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(functools.partial(_judge, model), schema)
 
 
+@frees
 def _filter(model: Model, batches):
     for b in batches:
         kept, _ = model.kept(statistics(b.column("text")))

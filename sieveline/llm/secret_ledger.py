@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, frees
 
 #: (kind, pattern, group whose length counts, least length). The first three are the base rules; patterns of one
 #: kind are matched leftmost first without overlap, and matches that are too short are dropped afterwards.
@@ -57,6 +57,7 @@ def find(text: str, rules=RULES) -> list[tuple[int, int, int]]:
 _SPANS = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
+@frees
 def _scan(rules, batches):
     seen: set[str] = set()  # rows of one blob that repeat their path come to one task
     for b in batches:
