@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from sieveline.llm import bagminhash, byte_bpe, components, html_extract, langid, line_dedup, mixing, quality, queries, secret_ledger, topk, url_filter, words
 
@@ -67,6 +68,22 @@ def test_line_dedup_drops_rare_boilerplate(spark):
     assert got[12] == "own line 12" and got[18] == "own line 18\nLicense."
 
 
+def test_line_dedup_of_many_hosts_meets_lines_by_part(spark, monkeypatch):
+    rows = [(i % 30, f"Menu bar\nown line {i}", "en") for i in range(60)] + [(0, None, "en"), (0, "Menu bar\nown line 0", "en")]
+    df = odd_docs(spark, rows)
+    want = sorted(map(str, line_dedup.line_dedup(df).collect()))
+    monkeypatch.setattr(line_dedup, "SMALL_MB", -1)
+    monkeypatch.setattr(line_dedup, "PAGES", 9)
+    assert sorted(map(str, line_dedup.line_dedup(df).collect())) == want and sum("Menu" in r for r in want) == 2  # the two of the null host
+
+
+def test_line_dedup_of_clashing_names_and_long_texts(spark):
+    long_ = "\n".join(f"line {i}" for i in range(50000))
+    df = spark.createDataFrame([(i, f"Menu\n{i}", "s", "a", "b", 7) for i in range(5)] + [(9, long_, "s", "a", "b", 7)], "doc_id long, text string, source string, __host string, gone string, __n_dropped int")
+    got = {r["doc_id"]: r for r in line_dedup.line_dedup(df).collect()}
+    assert got[3]["text"] == "3" and (got[3]["__host"], got[3]["gone"], got[3]["__n_dropped"]) == ("a", "b", 1) and got[9]["text"] == long_
+
+
 def test_line_dedup_has_no_python(spark):
     assert "Python" not in queries.op1_line_dedup(spark, SF)._jdf.queryExecution().toString()
 
@@ -77,26 +94,28 @@ def test_line_dedup_has_no_python(spark):
 def vectors(spark, n=150, dims=24, seed=3):
     rng = np.random.default_rng(seed)
     data = [(i, [float(x) for x in rng.normal(0, 1, dims)], 0) for i in range(n)]
-    data += [(1000 + i, [0.5] * dims, 0) for i in range(30)] + [(2000, None, 0), (2020, [1.0, None], 0), (2040, [float("nan")] * dims, 0), (2060, [float("inf")], 0), (2080, [1.0], 0), (2100, [], 0), (20, data[20][1], 0), (None, [1.0], 0)]
+    data += [(1000 + i, [0.5] * dims, 0) for i in range(30)] + [(2000, None, 0), (2020, [1.0, None], 0), (2040, [float("nan")] * dims, 0), (2060, [float("inf")], 0), (2080, [1.0], 0), (2100, [], 0), (20, data[20][1], 0), (None, [1.0], 0), (None, [9.0] * dims, 0)]
     return spark.createDataFrame(data, "vec_id long, embedding array<float>, score int")
 
 
 def test_topk_against_brute_force(spark):
     df = vectors(spark)
-    rows = [(r[0], [math.floor(64 * x) for x in r[1]]) for r in df.collect() if r[0] is not None and r[1] is not None and all(x is not None and math.isfinite(x) for x in r[1])]
+    rows = [(r[0], [math.floor(64 * x) for x in r[1]]) for r in df.collect() if r[1] is not None and all(x is not None and math.isfinite(x) for x in r[1])]
     want = Counter()
-    for q, x in rows:
-        if q % 20 == 0:
-            best = sorted((-sum(a * b for a, b in zip(x, y)), c) for c, y in rows if c != q)[:20]
-            want.update((q, k + 1, c, -s) for k, (s, c) in enumerate(best))
-    got = topk.top_k(df.where("vec_id % 20 = 0"), df, 20, block=32, query_block=4)
-    assert Counter(tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()) == want
-    assert topk.top_k(df.where("false"), df, 20).count() == 0 and topk.top_k(df, df.where("false"), 20).count() == 0
+    for i, (q, x) in enumerate(rows):
+        if q is not None and q % 20 == 0:
+            best = sorted((-sum(a * b for a, b in zip(x, y)), 1 << 63 if c is None else c) for j, (c, y) in enumerate(rows) if i != j)[:20]
+            want.update((q, k + 1, None if c == 1 << 63 else c, -s) for k, (s, c) in enumerate(best))
+    is_query = F.col("vec_id") % 20 == 0
+    for block, query_block in ((32, 4), (7, 1000), (1000, 1000)):
+        got = topk.top_k(df, is_query, 20, block=block, query_block=query_block)
+        assert Counter(tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()) == want
+    assert topk.top_k(df.where("false"), is_query, 20).count() == 0 and topk.top_k(df, F.lit(False), 20).count() == 0
 
 
 def test_topk_of_huge_components():
     q, c = np.array([[2.0**60, 1.0]]), np.array([[2.0**60, 0.0], [1.0, 1.0]])
-    assert topk.search(q, c, np.array([0]), np.array([1, 2]), 5)[2].tolist() == [2**63 - 1, 2**60 + 1]
+    assert topk.search(q, c, np.array([0]), np.array([1, 2]), np.array([1, 2]), 5)[2].tolist() == [2**63 - 1, 2**60 + 1]
 
 
 # 3
@@ -122,6 +141,54 @@ def test_url_trees_on_held_out_urls(spark):
     assert sum((r["verdict"] == "block") == (r["y"] > 0) for r in got) >= 0.9 * len(got)
 
 
+def test_url_rules_come_before_seeds(spark):
+    row = spark.createDataFrame([("m.casino-win.example.org", "allow"), ("a.poker.io", None), ("b.io", None), ("c.io", "block")], "h string, v string")
+    assert [r[0] for r in row.select(url_filter.label(F.col("h"), F.col("v"))).collect()] == [0.0, 1.0, None, 1.0]
+
+
+def test_url_features_by_brute_force(spark):
+    urls = ["http://www.a-b.x1.example.com/p/q.html?a=1&b=%20#f", "https://é😀.org/??", "x://h", "http://h/" + "Ab9" * 4000, ""]
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    host, path = url_filter.host_path(F.col("url"))
+    for r in url_filter._lexical(df.withColumns({"host": host, "path": path})).collect():
+        u, n = r["url"], Counter(r["url"])
+        assert r["f_entropy"] == pytest.approx(-sum(c / len(u) * math.log2(c / len(u)) for c in n.values()), abs=1e-9) and r["f_length"] == len(u)
+        assert r["f_digits"] == pytest.approx(sum(c in "0123456789" for c in u) / max(1, len(u))) and r["f_params"] == u.count("=")
+
+
+def test_url_rates_leave_the_own_fold_out(spark):
+    random.seed(7)
+    rows = [(f"http://s{i % 3}.example.org/p{i}", float(random.random() < 0.4)) for i in range(60)]
+    df = spark.createDataFrame(rows + rows[:9], "url string, label double")  # repeated urls count once
+    host, path = url_filter.host_path(F.col("url"))
+    model = url_filter.Model(df.withColumns({"host": host, "path": path}))
+    lexical = url_filter._lexical(df.distinct().withColumns({"host": host, "path": path, "fold": F.pmod(F.xxhash64(F.lit(5), "url"), F.lit(url_filter.FOLDS))}))
+    own = [r.asDict() for r in model.rated(lexical, True).collect()]
+    assert len(own) == 60
+    for r in own:
+        rest = [x["label"] for x in own if x["site"] == r["site"] and x["fold"] != r["fold"]]
+        assert r["f_site_rate"] == pytest.approx((sum(rest) + 1) / (len(rest) + 2))
+
+
+def test_urls_of_one_zone_get_both_verdicts(spark):
+    random.seed(9)
+    good = lambda i: f"https://www.{random.choice(['news', 'book', 'wiki'])}{i % 9}.example.com/{random.choice(['about', 'story'])}/{random.choice('abc')}"
+    bad = lambda i: f"http://win{random.randint(1000, 9999)}-{i}.example.com/x?a={i}&b={random.random()}&c={random.random()}"
+    train = spark.createDataFrame([(good(i), 0.0) for i in range(150)] + [(bad(i), 1.0) for i in range(150)], "url string, label double")
+    pages = spark.createDataFrame([(i, good(i) if i % 2 else bad(i)) for i in range(200)], "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(pages, rules=(), labelled=train).collect()}
+    assert sum(got[i] == ("allow" if i % 2 else "block") for i in got) >= 190
+
+
+def test_urls_of_odd_tables(spark):
+    same = "http://spam.example.io/a"
+    data = [(i, same, "x", "y") for i in range(300)] + [(300, "http://good.example.org/fr/x", "x", "y"), (301, "http://h/" + "a/" * 50000, "x", "y"), (None, None, "x", "y")]
+    df = spark.createDataFrame(data, "page_id long, url string, host string, label string")
+    got = url_filter.judge(df).collect()
+    assert len(got) == len(data) and {r["verdict"] for r in got if r["page_id"] and r["page_id"] < 300} in ({"allow"}, {"block"})
+    assert {r["verdict"] for r in url_filter.judge(df.where("page_id = 300 or page_id = 301")).collect()} == {"allow"}  # labels of one kind: no trees
+
+
 # 4
 
 
@@ -230,6 +297,21 @@ def test_mixing(spark):
     assert mixing.mix(empty(spark)).count() == 0 and mixing.mix(odd_docs(spark)).count() == 8
 
 
+def test_mixing_rates_by_brute_force(spark):
+    random.seed(16)
+    data = [(i, " ".join(["w"] * random.randint(0, 60)), random.choice("aabbbc"), 1, 2) for i in range(900)]
+    got = mixing.mix(spark.createDataFrame(data, "doc_id long, text string, source string, row int, __of int")).collect()
+    for s in "abc":
+        own = [r for r in got if r["source"] == s]
+        low, high = -5.0, 5.0
+        for _ in range(200):
+            lam = (low + high) / 2
+            low, high = (lam, high) if sum(min(3.0, math.exp(lam * r["__size"])) * r["__size"] for r in own) < own[0]["__target"] else (low, lam)
+        assert all(r["__rate"] == pytest.approx(min(3.0, math.exp(lam * r["__size"])), rel=1e-4) and abs(r["__copies"] - r["__rate"]) <= 1 for r in own)
+        assert sum(r["__copies"] for r in own) == pytest.approx(sum(r["__rate"] for r in own), abs=1)
+    assert {(r["row"], r["__of"]) for r in got} == {(1, 2)}
+
+
 # 7
 
 
@@ -260,6 +342,61 @@ def test_html_consensus(spark):
     assert got[9] == "short main" and got[0] == ("main text " * 20).strip()
 
 
+def test_html_names_of_boxes(spark):
+    body = "words of the story " * 10
+    rows = [
+        (0, "http://a/", f"<article><p>{body}</p><section class='notice-board-history'>Old boards.</section><div class='social-policy'>Policy.</div></article>", f"{body}Old boards. Policy."),
+        (1, "http://b/", f"<body><div class='post-related-research'>{body}</div><div class='x'>short</div></body>", body.strip()),
+        (2, "http://c/", f"<body><div class=main><p>{body}</p><div class='related-posts'>Other</div></div><aside>Side</aside><div class='cookie-notice'>We use</div></body>", body.strip()),
+        (3, "http://d/", "<div class='ad'>All there is</div>", "All there is"),
+        (4, "http://e/", "<p>one <span class='share'>x</span> two</p>", "one two"),
+    ]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, kept string")).collect()}
+    assert got == {i: t for i, _, _, t in rows}
+
+
+def test_html_hosts_show_what_is_no_box(spark):
+    random.seed(4)
+    own = lambda: " ".join(random.choice("abcdefgh") * 4 for _ in range(40))
+    texts = [(own(), own()) for _ in range(8)]
+    rows = [(i, "http://h/", f"<body><div class=story>{a}<div class='comments'>{b}</div></div></body>") for i, (a, b) in enumerate(texts)]
+    rows += [(10 + i, "http://g/", f"<body><div class=story>{a}<div class='notice'>Same notice on all pages, as long as the text of them or so</div></div></body>") for i, (a, _) in enumerate(texts)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"{a} {b}" for i, (a, b) in enumerate(texts)) and all(got[10 + i] == a for i, (a, _) in enumerate(texts))
+
+
+def test_html_votes_by_brute_force(spark):
+    random.seed(11)
+    rows = []
+    for i in range(120):
+        blocks = [f"<div class='{random.choice(['a', 'b', 'c'])}{random.randint(1, 9)}'>{'text ' * random.randint(1, 60)}</div>" for _ in range(3)]
+        rows.append((i, f"http://h{i % 5}/x", "".join(blocks)))
+    rows += rows[:7]
+    want = {}
+    for _, u, h in rows:
+        path, share = html_extract.read(h).best()
+        want.setdefault(u[7:9], Counter())[path] += share
+    got = html_extract.winners(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == 5
+    for r in got:
+        top = max(want[r["host"]].values())
+        assert want[r["host"]][r["path"]] == pytest.approx(top)
+
+
+def test_html_of_many_hosts_meets_winners_by_part(spark, monkeypatch):
+    rows = [(i, f"http://h{i % 3}/", f"<div class='box'>tip</div><div class='text'>{'main text ' * 20}{i}</div>") for i in range(40)] + [(1, "http://h1/", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = sorted(map(str, html_extract.extract(df).collect()))
+    monkeypatch.setattr(html_extract, "SMALL_MB", -1)
+    monkeypatch.setattr(html_extract, "PAGES", 4)
+    assert sorted(map(str, html_extract.extract(df).collect())) == want and len(want) == 41
+
+
+def test_html_deep_pages_take_linear_time():
+    page = html_extract.read("<div>" * 60000 + "x" * 40000 + "<div class=ad>y" * 20000)
+    assert page.text(None) == "x" * 40000
+
+
 # 8
 
 
@@ -357,6 +494,33 @@ def test_languages_of_odd_texts(spark):
     assert {r["lang_pred"] for r in langid.predict(odd_docs(spark), none).collect()} == {"und"}
 
 
+def test_languages_of_all_scripts(spark):
+    words_ = {"ber": "ⴰⴱⴳ ⴷⴻⴼ ⴳⵀⵃ", "chu": "ⰀⰁⰂ ⰃⰄⰅ ⰆⰇⰈ", "hin": "हिन्दी भाषा में", "zho": "中文 語言", "ara": "اللغة العربية"}
+    data = [(i, f"{t} {t}", lang) for i in range(60) for lang, t in words_.items()]
+    model = langid.fit(odd_docs(spark, data))
+    got = langid.predict(odd_docs(spark, [(k, t, None) for k, t in enumerate(words_.values())]), model).collect()
+    assert {r["doc_id"]: r["lang_pred"] for r in got} == dict(enumerate(words_)) and all(r["score"] == 1 for r in got)
+    mixed = langid.predict(odd_docs(spark, [(1, "中文 語言 中文 語言, ⴰⴱⴳ ⴷⴻⴼ ⴳⵀⵃ ⴰⴱⴳ!", None), (2, "「。」⁂ ̀", None)]), model).collect()
+    assert {r["doc_id"]: r["spans"] for r in mixed} == {1: "zho:0:11,ber:13:28", 2: ""} and [r["lang_pred"] for r in mixed if r["doc_id"] == 2] == ["und"]
+
+
+def test_viterbi_of_many_languages():
+    rng = np.random.default_rng(2)
+    for k in (127, 128, 200, 300):
+        score = -rng.exponential(4, (60, k))
+        label = langid.viterbi(score, np.zeros(60, np.int64), 6.0)
+        best = score[0]
+        for s in score[1:]:
+            best = np.maximum(best, best.max() - 6) + s
+        assert score[np.arange(60), label].sum() - 6 * (label[1:] != label[:-1]).sum() == pytest.approx(best.max(), abs=1e-4) and label.min() >= 0
+
+
+def test_language_ties_go_to_the_first(spark):
+    data = [(i, "same words here", lang) for i in range(80) for lang in ("b", "a")]
+    got = langid.predict(odd_docs(spark, data[:4]), langid.fit(odd_docs(spark, data))).collect()
+    assert {r["lang_pred"] for r in got} == {"a"}
+
+
 def test_viterbi_against_all_paths():
     rng = np.random.default_rng(1)
     for _ in range(200):
@@ -410,9 +574,31 @@ def test_ledger_scans_only_new_blobs(spark, tmp_path):
     assert secret_ledger.findings(*secret_ledger.scan(empty(spark))).count() == 0
 
 
+def test_ledger_with_repeated_entries(spark, tmp_path):
+    docs = odd_docs(spark, [(1, "token=abcdefgh1", "en"), (1, "token=abcdefgh1", "en"), (None, "token=abcdefgh1", "en"), (None, None, "en")])
+    paths, entries = secret_ledger.scan(docs)
+    assert entries.count() == 2  # the empty blob is one
+    got = secret_ledger.findings(paths, entries.unionByName(entries)).collect()
+    assert len(got) == 4 and sum(r["n_assign"] for r in got) == 3
+    assert len(list(secret_ledger._scan(secret_ledger.RULES, [pa.RecordBatch.from_pydict({"blob": ["x", "x"], "text": ["a", "a"]})]))[0]) == 1
+
+
 # pipeline
 
 
+def test_pipeline_of_odd_rows(spark):
+    import corpus_pipeline as p
+
+    extra = odd_docs(spark).withColumn("__gone", F.lit(1)).withColumn("row", F.lit("x"))
+    rows = extra.unionByName(spark.read.parquet(f"{SF}/documents.parquet").limit(60).withColumns({c: F.lit(None) for c in ("line", "host", "id", "bands", "__gone", "row")}), allowMissingColumns=True)
+    kept = rows
+    for name, stage in p.STAGES[:4]:
+        n = kept.count()
+        kept = stage(spark, kept, SF)
+        assert kept.columns == list(p.COLUMNS) and 0 < kept.count() <= (n if name != "source mixing" else 3 * n), name
+    assert p.STAGES[4][1](spark, kept, SF).count() == kept.count()
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
@@ -445,5 +631,5 @@ def test_verify_compares_each_text_of_a_repeated_id():
 def test_deep_containers_keep_paths_of_their_own():
     for around in ("<div>" * 200, "<div class='" + "alpha " * 150 + "'>", "<div><div class='" + "alpha " * 150 + "'>"):
         page = html_extract.read(f"{around}<div class='beta'>unmarked block</div><div class='gamma'>{'story words ' * 40}</div>")
-        path, _ = page.best()
+        path = page.best()[0]
         assert page.text(path) == ("story words " * 40).strip() and len(set(page.path)) == len(page.path)
