@@ -24,9 +24,9 @@ MATCHES = {
 FETCH_TOOLS = ("curl", "wget", "aria2c", "scp", "rsync", "git", "yt-dlp", "youtube-dl")
 # Suffixes of the file families that tables of documents and pages need, in order of precedence.
 FAMILIES = {
-    "image": ("jpg", "jpeg", "png", "gif", "tif", "tiff", "webp", "heic", "svg", "psd"), "video": ("mp4", "mov", "mkv", "avi", "webm"), "audio": ("mp3", "wav", "flac", "ogg", "opus", "aiff", "ape"),
-    "mail": ("eml", "msg", "mbox"), "document": ("pdf", "doc", "docx", "xls", "xlsx", "ppt", "pptx", "odt", "ods", "epub", "rtf", "ipynb"), "archive": ("zip", "tar", "gz", "bz2", "xz", "7z"),
-    "text": ("txt", "md", "csv", "tsv", "html", "htm", "xml", "json", "yaml", "yml", "log"),
+    "image": tuple("jpg jpeg jpe jfif png gif tif tiff dng nef cr2 arw webp heic heif avif svg psd psb bmp".split()), "video": tuple("mp4 m4v mov 3gp 3g2 mkv mks avi webm ogv".split()), "audio": tuple("mp3 wav bwf flac ogg oga opus aif aiff aifc ape wv mpc m4a m4b mka".split()),
+    "mail": ("eml", "msg", "mbox"), "document": tuple("pdf doc docx docm dotx xls xlsx xlsm ppt pptx pptm odt ods odp odg epub rtf ipynb msg".split()), "archive": tuple("zip tar gz tgz bz2 tbz2 xz txz zst 7z rar jar".split()),
+    "text": tuple("txt md csv tsv html htm xhtml xml json yaml yml log gpx kml geojson ini toml".split()), "executable": tuple("exe dll sys scr ocx cpl".split()), "font": tuple("ttf otf ttc woff".split()),
 }
 ALIASES = {"jpg": "jpeg", "jpe": "jpeg", "tif": "tiff", "yml": "yaml", "htm": "html"}
 

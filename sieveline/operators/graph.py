@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import functools
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import normalize as N
 
+# Kinds that read the same from both ends.
 SYMMETRIC = ("same document", "common ancestor")
+EVIDENCE = "struct<source:string,place:string,category:string,match:string,rule:string,at:string>"
 
 
 def edges(files: DataFrame, holders: DataFrame, ids: DataFrame) -> DataFrame:
@@ -36,3 +40,85 @@ def neighbors(found: DataFrame, node: str, kind: str | None = None) -> DataFrame
     """Edges at a node."""
     own = found.where((F.col("source") == node) | (F.col("target") == node))
     return own if kind is None else own.where(F.col("kind") == kind)
+
+
+def _edge(begin: Column, end: Column, kind: Column | str, count: Column | None = None, **ground: Column | str) -> list[Column]:
+    """An edge with one piece of evidence: source, place, category, match, rule and at of what it rests on."""
+    text = lambda x: F.lit(None).cast("string") if x is None else F.lit(x) if isinstance(x, str) else x.cast("string")
+    names = ("source", "place", "category", "match", "rule", "at")
+    found = F.array(F.struct(*[text(ground.get(n)).alias(n) for n in names]))
+    return [begin.alias("source"), end.alias("target"), (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), (F.lit(1) if count is None else count).cast("long").alias("count"), found.alias("evidence")]
+
+
+def file_id(path: Column) -> Column:
+    return F.concat(F.lit("file:"), path)
+
+
+def identifier_edges(places: DataFrame) -> DataFrame:
+    """has identifier: from files to their values, with every place as evidence."""
+    return places.select(*_edge(file_id(F.col("path")), F.concat_ws(":", "type", "normalized"), "has identifier", F.col("count"), place=F.col("seq")))
+
+
+def derived_edges(ids: DataFrame, digests: DataFrame) -> DataFrame:
+    """email domain, URL host and digest of (email, type, normalized): values that follow from other values."""
+    mail, url = ids.where("type = 'email'"), ids.where("type = 'url'")
+    of = lambda df: F.concat_ws(":", "type", "normalized")
+    one = mail.select(*_edge(of(mail), F.concat(F.lit("domain:"), N.domain(F.regexp_extract("normalized", "@(.*)$", 1))), "email domain", rule="the part behind the at sign"))
+    two = url.select(*_edge(of(url), F.concat(F.lit("domain:"), N.url_host(F.col("normalized"))), "URL host", rule="the host of the address"))
+    three = digests.select(*_edge(F.concat_ws(":", "type", "normalized"), F.concat(F.lit("email:"), F.col("email")), "digest of", rule="the digest of the address"))
+    return one.unionByName(two).unionByName(three).where("target is not null")
+
+
+def content_edges(files: DataFrame) -> DataFrame:
+    return files.where("size > 0").select(*_edge(file_id(F.col("path")), F.concat(F.lit("sha256:"), F.col("sha256")), "content hash"))
+
+
+def attribute_edges(attributes: DataFrame) -> DataFrame:
+    """author, camera body, camera lens and camera model: from files to what they name (axis, name, path, basis)."""
+    kinds = {"author": ("author", "person"), "device": ("camera body", "camera"), "lens": ("camera lens", "lens"), "model": ("camera model", "model")}
+    pick = lambda i: F.element_at(F.create_map(*[x for k, v in kinds.items() for x in (F.lit(k), F.lit(v[i]))]), F.col("axis"))
+    return attributes.where(F.col("axis").isin(*kinds) & (F.trim("name") != "")).select(*_edge(file_id(F.col("path")), F.concat(pick(1), F.lit(":"), N.name(F.col("name"))), pick(0), place=F.col("basis")))
+
+
+def container_edges(members: DataFrame) -> DataFrame:
+    """member of archive, embedded in and listed in torrent: from files (path, container, how) to what carries them."""
+    kind = F.when(F.col("how") == "archive-member", "member of archive").when(F.col("how") == "torrent", "listed in torrent").otherwise("embedded in")
+    return members.select(*_edge(file_id(F.col("path")), file_id(F.col("container")), kind, source=F.col("how")))
+
+
+def lineage_edges(links: DataFrame) -> DataFrame:
+    """The six kinds of lineage, an edge for each named file."""
+    return links.select("path", "kind", F.explode("others").alias("other")).select(*_edge(file_id(F.col("path")), file_id(F.col("other")), F.col("kind"), source="xmp"))
+
+
+def claims(*parts: DataFrame) -> DataFrame:
+    """One edge for each claim of all parts: counts add up, for symmetric kinds the largest holds; evidence is kept once, in order."""
+    rows = functools.reduce(DataFrame.unionByName, parts)
+    even = F.col("kind").isin(*SYMMETRIC)
+    ends = rows.select(F.when(even, F.least("source", "target")).otherwise(F.col("source")).alias("source"), F.when(even, F.greatest("source", "target")).otherwise(F.col("target")).alias("target"), "kind", "count", F.explode_outer("evidence").alias("e"))
+    # equal grounds of one claim are one before they come together, so a hot claim brings distinct ones only
+    once = ends.groupBy("source", "target", "kind", "e").agg(F.sum("count").alias("total"), F.max("count").alias("most"))
+    return once.groupBy("source", "target", "kind").agg(F.when(even, F.max("most")).otherwise(F.sum("total")).cast("long").alias("count"), F.array_sort(F.collect_list("e")).alias("evidence"))
+
+
+def node_table(edges_: DataFrame) -> DataFrame:
+    """id, type, value, label and degree of the ends of all edges; the label of a file is its name."""
+    ends = edges_.select(F.explode(F.array("source", "target")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
+    kind, value = F.regexp_extract("id", "^([^:]+):", 1), F.regexp_extract("id", "(?s)^[^:]+:(.*)$", 1)
+    return ends.select("id", kind.alias("type"), value.alias("value"), F.when(kind == "file", F.coalesce(F.nullif(N.basename(value), F.lit("")), value)).otherwise(value).alias("label"), "degree")
+
+
+def picture(nodes_: DataFrame, most: int = 120) -> DataFrame:
+    """The nodes of a picture of the graph: those with most edges, a report of the first few."""
+    rank = F.when(F.col("type") == "file", 0).when(F.col("type") == "person", 1).otherwise(2)
+    return nodes_.where("degree > 0").orderBy(F.desc("degree"), rank, "id").limit(most)
+
+
+def edge_label(kind: Column) -> Column:
+    """has identifier as HAS_IDENTIFIER."""
+    return F.upper(F.regexp_replace(kind, "[ -]", "_"))
+
+
+def node_label(type_: Column) -> Column:
+    """file as :File, message_id as :MessageId."""
+    return F.concat(F.lit(":"), F.regexp_replace(F.initcap(F.regexp_replace(type_, "_", " ")), " ", ""))
