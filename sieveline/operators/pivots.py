@@ -67,8 +67,14 @@ def holders(found: DataFrame) -> DataFrame:
     return found.groupBy("path", "type", "normalized").agg(F.count("*").alias("count"))
 
 
-def digests_of_emails(ids: DataFrame) -> DataFrame:
-    """Emails whose MD5, SHA-1 or SHA-256 is a digest that was found."""
+def email_digests(ids: DataFrame) -> DataFrame:
+    """email, type and normalized: the digests of each address."""
     mails = ids.where("type = 'email'").select(F.col("normalized").alias("email"))
-    made = mails.select("email", F.explode(F.array(F.struct(F.lit("md5").alias("type"), F.md5("email").alias("normalized")), F.struct(F.lit("sha1").alias("type"), F.sha1("email").alias("normalized")), F.struct(F.lit("sha256").alias("type"), F.sha2("email", 256).alias("normalized")))).alias("d")).select("email", "d.*")
-    return made.join(ids.select("type", "normalized"), ["type", "normalized"]).select("email", "type", "normalized")
+    made = lambda kind, value: F.struct(F.lit(kind).alias("type"), value.alias("normalized"))
+    return mails.select("email", F.explode(F.array(made("md5", F.md5("email")), made("sha1", F.sha1("email")), made("sha256", F.sha2("email", 256)))).alias("d")).select("email", "d.*")
+
+
+def digests_of_emails(ids: DataFrame) -> DataFrame:
+    """Emails whose MD5, SHA-1, SHA-256 or SHA-512 is a digest that was found."""
+    more = ids.where("type = 'email'").select(F.col("normalized").alias("email"), F.lit("sha512").alias("type"), F.sha2("normalized", 512).alias("normalized"))
+    return email_digests(ids).unionByName(more).join(ids.select("type", "normalized"), ["type", "normalized"]).select("email", "type", "normalized")

@@ -13,6 +13,8 @@ from ..functions import moments as M
 from ..functions import normalize as N
 from ..functions import vocabulary as V
 from ..operators import case, correlate, findings, graph, lineage, ordered, overview, pivots, redact
+from ..sources import documents as texts
+from ..sources import readers, stores
 from ..sources.tables import EVENTS, evidence, files, passages, table
 
 QUERIES: dict = {}
@@ -477,3 +479,35 @@ def same_second_bytes(spark, d):
     own = _records(spark, d)
     size = F.regexp_replace("path", "user/", "").cast("long") % 2
     return case.same_second(own, own.select("path").distinct().select("path", size.alias("size"), F.sha2(size.cast("string"), 256).alias("sha256")))
+
+
+def _page_files(spark, d):
+    return table(spark, d, "pages").select(F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.col("html").cast("binary").alias("content"))
+
+
+@query(f"SELECT path, 'element ' || k AS place, text FROM (SELECT path, generate_subscripts(parts, 1) AS k, unnest(parts) AS text FROM (SELECT 'pages/' || page_id || '.html' AS path, flatten({_MARKUP}) AS parts FROM pages)) WHERE trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> ''")
+def page_passages(spark, d):
+    """Texts and links of every page by its parser, each with its place."""
+    return texts.passages(_page_files(spark, d)).select("path", "place", "text")
+
+
+@query("SELECT 'pages/' || page_id || '.html' AS path, 'web-document' AS block, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>([^<]*)', 1), '\\s+', ' ', 'g')) AS title, regexp_extract(html, '(?i)<html[^>]*\\slang=\"([^\"]*)\"', 1) AS lang FROM pages WHERE html IS NOT NULL")
+def page_records(spark, d):
+    """What every page says of itself, by the reader of web documents."""
+    own = readers.records(_page_files(spark, d))
+    return own.select("path", "block", F.col("fields")["title"].alias("title"), F.col("fields")["lang"].alias("lang"))
+
+
+@query("SELECT 'IMG-' || strftime(o_orderdate, '%Y%m%d') || '-WA0001.jpg' AS name, 'WhatsApp' AS tool, strftime(o_orderdate, '%Y-%m-%d') AS dated FROM orders WHERE o_orderkey % 3 > 0 UNION ALL SELECT 'IMG-' || strftime(o_orderdate, '%Y') || '1399-WA0001.jpg', NULL, NULL FROM orders WHERE o_orderkey % 3 = 0")
+def messenger_names(spark, d):
+    """Names that messengers give to files; those of no real day say nothing."""
+    key, at = F.col("o_orderkey"), F.col("o_orderdate")
+    name = F.concat(F.lit("IMG-"), F.when(key % 3 > 0, F.date_format(at, "yyyyMMdd")).otherwise(F.concat(F.date_format(at, "yyyy"), F.lit("1399"))), F.lit("-WA0001.jpg"))
+    own = table(spark, d, "orders").select(name.alias("name")).withColumn("m", stores.messenger(F.col("name")))
+    return own.select("name", "m.tool", "m.dated")
+
+
+@query(_WITH + ", m AS (SELECT normalized AS email, unnest(['md5', 'sha1', 'sha256']) AS type, unnest([md5(normalized), sha1(normalized), sha256(normalized)]) AS normalized FROM identifiers WHERE type = 'email') SELECT email, m.type, m.normalized FROM m".replace("WITH ,", "WITH"))
+def digests_of_emails(spark, d):
+    """The digests by which each address is looked for among the digests that are found."""
+    return pivots.email_digests(_ids(spark, d))
