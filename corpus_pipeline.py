@@ -1,7 +1,11 @@
 """Corpus pipeline: quality rules, line dedup, near dedup, mixing, byte-level BPE. Counted as part of sieveline.llm.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
-n_chars follows the text. A stage keeps null ids and null texts as its operator defines.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents and
+leave out any other column, whatever its name. n_chars follows the text.
+
+Defined results: a document without text or with too few words goes in the first stage; a row without an id that passes it is kept
+by all others; rows that repeat an id are judged one by one, and near dedup keeps one of them; texts of any length go through whole;
+an empty table gives an empty one in each stage.
 """
 
 from __future__ import annotations
@@ -46,13 +50,16 @@ STAGES = [("quality rules", quality_rules), ("line dedup", dedup_lines), ("near
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each is written to the shared checkpoint folder and read again by the next one."""
+    """All stages over documents; each is written to the shared checkpoint folder and read again by the next one, after which it goes."""
     use_checkpoints(spark)
     base = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
         docs = spark.read.parquet(f"{base}/{k}")
+        if k:
+            before = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{k - 1}")
+            before.getFileSystem(spark._jsc.hadoopConfiguration()).delete(before, True)
     return docs
 
 
