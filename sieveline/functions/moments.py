@@ -6,6 +6,8 @@ said one). It names an instant only if it has all three.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,19 +19,27 @@ ZONE = r"(?:(Z)|([+-])(\d{2})'?:?(\d{2}))'?\s*$"
 MONTH, YEAR = 30.436875, 365.2425
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _joined(text: Column, pattern: str, groups: range) -> Column:
     return F.nullif(F.concat(*[F.coalesce(F.regexp_extract(text, pattern, i), F.lit("")) for i in groups]), F.lit(""))
 
 
 def stamp(value: Column) -> Column:
     """STRUCT<day, clock, offset>, null if there is no day."""
-    text = F.trim(value)
-    pdf = text.rlike(PDF_STAMP)
-    day = F.when(pdf, _joined(text, PDF_STAMP, range(1, 4))).otherwise(_joined(text, DAY, range(1, 4)))
-    clock = F.when(pdf, _joined(text, PDF_STAMP, range(4, 7))).otherwise(_joined(text, CLOCK, range(1, 4)))
-    minutes = F.regexp_extract(text, ZONE, 3).try_cast("int") * 60 + F.regexp_extract(text, ZONE, 4).try_cast("int")
-    offset = F.when(F.regexp_extract(text, ZONE, 1) == "Z", 0).when(text.rlike(ZONE), F.when(F.regexp_extract(text, ZONE, 2) == "-", -minutes).otherwise(minutes))
-    return F.when(day.isNotNull(), F.struct(day.alias("day"), clock.alias("clock"), offset.cast("int").alias("offset")))
+
+    def read(text: Column) -> Column:
+        pdf = text.rlike(PDF_STAMP)
+        day = F.when(pdf, _joined(text, PDF_STAMP, range(1, 4))).otherwise(_joined(text, DAY, range(1, 4)))
+        clock = F.when(pdf, _joined(text, PDF_STAMP, range(4, 7))).otherwise(_joined(text, CLOCK, range(1, 4)))
+        minutes = F.regexp_extract(text, ZONE, 3).try_cast("int") * 60 + F.regexp_extract(text, ZONE, 4).try_cast("int")
+        offset = F.when(F.regexp_extract(text, ZONE, 1) == "Z", 0).when(text.rlike(ZONE), F.when(F.regexp_extract(text, ZONE, 2) == "-", -minutes).otherwise(minutes))
+        return F.struct(day.alias("day"), clock.alias("clock"), offset.cast("int").alias("offset"))
+
+    return _let(_let(F.trim(value), read), lambda s: F.when(s["day"].isNotNull(), s))
 
 
 def reading(s: Column) -> Column:
@@ -42,31 +52,37 @@ def utc(s: Column) -> Column:
     return F.when(s["offset"].isNotNull(), reading(s) - F.make_dt_interval(mins=s["offset"]))
 
 
+def _both(left: Column, right: Column, body: Callable[[Column, Column, Column, Column], Column]) -> Column:
+    """body of two stamps and their instants, each computed once; null if one has no day."""
+    pair = F.struct(stamp(left).alias("a"), stamp(right).alias("b"))
+    four = lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"), utc(p["a"]).alias("x"), utc(p["b"]).alias("y"))
+    return _let(_let(pair, four), lambda q: F.when(q["a"].isNotNull() & q["b"].isNotNull(), body(q["a"], q["b"], q["x"], q["y"])))
+
+
 def instant(value: Column) -> Column:
     """The instant, or the mere reading where no zone is given; null without a time of day."""
-    s = stamp(value)
-    return F.coalesce(utc(s), reading(s))
+    return _let(stamp(value), lambda s: F.coalesce(utc(s), reading(s)))
 
 
 def after(left: Column, right: Column) -> Column:
     """Whether the first text names the later moment; null where the two can't be ranked."""
-    a, b = stamp(left), stamp(right)
-    both = utc(a).isNotNull() & utc(b).isNotNull()
-    ranked = F.when(a["day"] != b["day"], a["day"] > b["day"]).when(a["clock"].isNotNull() & b["clock"].isNotNull(), a["clock"] > b["clock"])
-    return F.when(a.isNull() | b.isNull(), F.lit(None).cast("boolean")).when(both, utc(a) > utc(b)).when(a["offset"].eqNullSafe(b["offset"]), ranked)
+
+    def ranked(a: Column, b: Column, x: Column, y: Column) -> Column:
+        by_reading = F.when(a["day"] != b["day"], a["day"] > b["day"]).when(a["clock"].isNotNull() & b["clock"].isNotNull(), a["clock"] > b["clock"])
+        return F.when(x.isNotNull() & y.isNotNull(), x > y).when(a["offset"].eqNullSafe(b["offset"]), by_reading)
+
+    return _both(left, right, ranked)
 
 
 def same_moment(left: Column, right: Column) -> Column:
     """Whether both texts name one moment, as closely as both say; null if one can't be read."""
-    a, b = stamp(left), stamp(right)
-    both = utc(a).isNotNull() & utc(b).isNotNull()
-    return F.when(a.isNull() | b.isNull(), F.lit(None).cast("boolean")).when(both, utc(a) == utc(b)).when(a["day"] != b["day"], False).otherwise(F.coalesce(a["clock"] == b["clock"], F.lit(True)))
+    return _both(left, right, lambda a, b, x, y: F.when(x.isNotNull() & y.isNotNull(), x == y).when(a["day"] != b["day"], False).otherwise(F.coalesce(a["clock"] == b["clock"], F.lit(True))))
 
 
 def created_after(authored: Column, arrived: Column, minutes: int = 5) -> Column:
     """Whether a file says that it was made this much later than it arrived; texts that can't be read are compared as such."""
-    a, b = instant(authored), instant(arrived)
-    return F.when(a.isNotNull() & b.isNotNull(), a > b + F.make_dt_interval(mins=F.lit(minutes))).otherwise(authored > arrived)
+    pair = F.struct(instant(authored).alias("a"), instant(arrived).alias("b"))
+    return _let(pair, lambda p: F.when(p["a"].isNotNull() & p["b"].isNotNull(), p["a"] > p["b"] + F.make_dt_interval(mins=F.lit(minutes))).otherwise(authored > arrived))
 
 
 def counted(n: Column, noun: str) -> Column:
@@ -99,9 +115,8 @@ def interval(one: Column, other: Column) -> Column:
 
 def shown(value: Column) -> Column:
     """A stamp as a reader reads it, saying UTC only where its writer gave a zone; what can't be read stays."""
-    s = stamp(value)
-    at, local = utc(s), reading(s)
-    return F.coalesce(F.concat(F.date_format(at, "yyyy-MM-dd HH:mm:ss"), F.lit(" UTC")), F.date_format(local, "yyyy-MM-dd HH:mm:ss"), value)
+    said = lambda at: F.date_format(at, "yyyy-MM-dd HH:mm:ss")
+    return F.coalesce(_let(stamp(value), lambda s: F.coalesce(F.concat(said(utc(s)), F.lit(" UTC")), said(reading(s)))), value)
 
 
 def iso(at: Column) -> Column:
