@@ -1079,9 +1079,20 @@ READERS: dict[str, tuple[Callable[[bytes], list[Record]], ...]] = {
 }
 
 
+#: Suffixes of files that may have content credentials.
+SIGNED = frozenset("jpg jpeg jpe png webp wav avi mp4 m4v m4a mov heic heif avif tif tiff dng svg".split())
+
+
 def read(suffix: str, data: bytes) -> list[Record]:
     """Records of one file; a reader that a broken file stops gives nothing."""
     out: list[Record] = []
+    if suffix.lower().lstrip(".") in SIGNED:
+        from .credentials import c2pa
+
+        try:
+            out += c2pa(data)
+        except (struct.error, IndexError, ValueError, KeyError, TypeError, AttributeError, OverflowError, RecursionError):
+            out = []
     for reader in READERS.get(suffix.lower().lstrip("."), ()):
         try:
             out += reader(data)

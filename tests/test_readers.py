@@ -225,3 +225,90 @@ def test_records_of_a_table(spark):
     got = R.records(spark.createDataFrame(rows, "path string, content binary").repartition(3)).collect()
     assert {r["block"] for r in got} >= set(CASES) and not any(r["path"].startswith(("/x/none", "/x/empty", "/x/null")) for r in got)
     assert all(r["fields"] is not None for r in got)
+
+
+def coded(value):
+    """A value as CBOR."""
+    head = lambda major, n: bytes([major << 5 | n]) if n < 24 else bytes([major << 5 | 24, n]) if n < 256 else bytes([major << 5 | 25]) + n.to_bytes(2, "big")
+    if isinstance(value, bool):
+        return b"\xf5" if value else b"\xf4"
+    if isinstance(value, int):
+        return head(0, value)
+    if isinstance(value, bytes):
+        return head(2, len(value)) + value
+    if isinstance(value, str):
+        return head(3, len(value.encode())) + value.encode()
+    if isinstance(value, list):
+        return head(4, len(value)) + b"".join(map(coded, value))
+    return head(5, len(value)) + b"".join(coded(k) + coded(v) for k, v in value.items())
+
+
+def jumb(label, *bodies):
+    return box(b"jumb", box(b"jumd", b"\0" * 16 + b"\3" + label.encode() + b"\0"), *bodies)
+
+
+def test_content_credentials():
+    import hashlib
+
+    from sieveline.sources import credentials as C
+
+    plain = b"\x89PNG\r\n\x1a\n" + chunk(b"IDAT", b"abc") + chunk(b"IEND", b"")
+    digest = hashlib.sha256(plain).digest()
+
+    def store(want):
+        hash_ = jumb("c2pa.hash.data", box(b"cbor", coded({"alg": "sha256", "hash": want, "exclusions": [{"start": 8, "length": size[0]}]})))
+        acts = jumb("c2pa.actions", box(b"cbor", coded({"actions": [{"action": "c2pa.created", "when": "2024-01-02T03:04:05Z", "digitalSourceType": "http://cv.iptc.org/newscodes/digitalsourcetype/trainedAlgorithmicMedia", "softwareAgent": {"name": "Maker", "version": "2"}}]})))
+        part = jumb("c2pa.ingredient__1", box(b"cbor", coded({"title": "base.png", "relationship": "parentOf", "c2pa_manifest": "x"})))
+        claim = jumb("c2pa.claim.v2", box(b"cbor", coded({"claim_generator_info": [{"name": "Signer", "version": "1"}]})))
+        return jumb("c2pa", jumb("urn:uuid:1", jumb("c2pa.claim", box(b"cbor", coded({"claim_generator": "Old"})))), jumb("urn:uuid:2", hash_, acts, part, claim))
+
+    size = [0]
+    for _ in range(3):
+        size[0] = len(chunk(b"caBX", store(digest)))
+    for want, said in ((digest, "binding matches the file"), (b"\0" * 32, "binding does not match the file")):
+        data = plain[:8] + chunk(b"caBX", store(want)) + plain[8:]
+        r = next(r for r in R.read("png", data) if r["block"] == "c2pa")
+        assert r["tool"] == "Signer 1 (Maker 2)" and r["at"] == "2024-01-02T03:04:05Z" and said in r["note"] and "derived from base.png" in r["note"] and r["note"].endswith("signature not verified")
+        assert r["fields"]["manifests"] == "2" and r["fields"]["Ingredient[1]:manifest"] == "own manifest" and r["fields"]["actions"] == "c2pa.created"
+    assert C.cbor(coded({"a": [1, True, b"x", "é"], "b": 300}))[0] == {"a": [1, True, b"x", "é"], "b": 300} and C.cbor(b"\x9f\x01\x02\xff")[0] == [1, 2] and C.cbor(b"\xfb" + struct.pack(">d", 1.5))[0] == 1.5
+    for bad in (b"", b"\x9f\x01", b"\x5a\xff\xff\xff\xff", b"\x81" * 100):
+        with pytest.raises((ValueError, IndexError)):
+            C.cbor(bad)
+    app11 = b"JP" + struct.pack(">HI", 1, 1) + store(digest)
+    assert C.store(b"\xff\xd8" + segment(0xEB, app11) + b"\xff\xda\0\2")[1] == "JPEG APP11"
+
+
+def test_examination_of_pictures(spark):
+    from sieveline.sources import images as I
+
+    tables = segment(0xDB, b"\0" + bytes(I.scaled(I.LUMA, 83)) + b"\1" + bytes(I.scaled(I.CHROMA, 83)))
+    frame = lambda w, h: segment(0xC0, struct.pack(">BHHB", 8, h, w, 3) + b"\0" * 9)
+    small = b"\xff\xd8" + frame(10, 10) + b"\xff\xda\0\2\0\xff\xd9"
+    exif = tiff([(0xA431, "SN1234")]) + small
+    data = b"\xff\xd8" + segment(0xE1, b"Exif\0\0" + exif) + tables + frame(40, 20) + b"\xff\xda\0\2ab\xff\0c\xff\xd0d\xff\xd9tail"
+    got = I.facts(data)
+    assert (got["quality"], got["quality.distance"], got["dimensions"], got["frame"], got["restarts"], got["trailing"], got["ended"]) == ("83", "0", "40x20", "baseline", "1", "4", "yes")
+    assert got["preview.dimensions"] == "10x10" and "conflict.preview" in got and I.facts(b"no") == {} and "broken" in I.facts(b"\xff\xd8ab")
+    for q in range(1, 101):
+        assert I.quality({0: I.scaled(I.LUMA, q), 1: I.scaled(I.CHROMA, q)})[1] == 0
+    rows = [("/a.jpg", data), ("/b.jpeg", data), ("/c.jpg", b"no"), ("/d.jpg", None), ("/e.png", data)]
+    photos = I.examined(spark.createDataFrame(rows, "path string, content binary"))
+    assert [tuple(r) for r in I.by_serial(photos).collect()] == [("SN1234", 2)] and tuple(I.summary(photos).first()) == (4, 2, 2, 2, 2, 0)
+
+
+def test_formats_by_registry(spark):
+    from sieveline.sources import formats as S
+
+    xml = b"""<FFSignatureFile xmlns="http://www.nationalarchives.gov.uk/pronom/SignatureFile"><InternalSignatureCollection>
+    <InternalSignature ID="1"><ByteSequence Reference="BOFoffset"><SubSequence SubSeqMinOffset="0" SubSeqMaxOffset="4"><Sequence>255044462D</Sequence></SubSequence></ByteSequence></InternalSignature>
+    <InternalSignature ID="2"><ByteSequence Reference="BOFoffset"><SubSequence SubSeqMinOffset="0" SubSeqMaxOffset="0"><Sequence>255044462D312E(34|35)</Sequence></SubSequence></ByteSequence><ByteSequence Reference="EOFoffset"><SubSequence SubSeqMinOffset="0" SubSeqMaxOffset="3"><Sequence>2525454F46</Sequence></SubSequence></ByteSequence></InternalSignature>
+    </InternalSignatureCollection><FileFormatCollection><FileFormat ID="10" Name="PDF" PUID="fmt/1"><InternalSignatureID>1</InternalSignatureID><Extension>pdf</Extension></FileFormat>
+    <FileFormat ID="11" Name="PDF" Version="1.4" PUID="fmt/2" MIMEType="application/pdf"><InternalSignatureID>2</InternalSignatureID><HasPriorityOverFileFormatID>10</HasPriorityOverFileFormatID></FileFormat><FileFormat ID="12" Name="Text" PUID="x/1"><Extension>txt</Extension></FileFormat></FileFormatCollection></FFSignatureFile>"""
+    known = S.registry(xml)
+    rows = [("/a.pdf", b"%PDF-1.4 x %%EOF\n"), ("/b.pdf", b"\n\n%PDF-1.9"), ("/c.txt", b"hello"), ("/d.bin", b"?"), ("/e.txt", None)]
+    got = {(r["path"], r["puid"], r["basis"]) for r in S.formats(spark.createDataFrame(rows, "path string, content binary"), known).collect()}
+    assert got == {("/a.pdf", "fmt/2", "signature"), ("/b.pdf", "fmt/1", "signature"), ("/c.txt", "x/1", "extension"), ("/e.txt", "x/1", "extension")}
+    import re
+
+    for seq, yes, no in (("41??43", b"AxC", b"AC"), ("41{2-3}42", b"AxxB", b"AxB"), ("41*42", b"A...B", b"B.A"), ("[41:43]5A", b"BZ", b"DZ"), ("[!41]5A", b"BZ", b"AZ"), ("'GIF'(38|39)", b"GIF9", b"GIF7")):
+        assert re.search(S.pattern(seq), yes) and not re.search(S.pattern(seq), no), seq
