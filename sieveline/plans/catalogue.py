@@ -40,7 +40,7 @@ _FILES = """files AS (SELECT 'documents/' || doc_id || '.txt' AS path, doc_id ||
 # pages as a parser reads them, for markup as plain as theirs: tags cut texts, scripts and styles have none, tags give links
 _MARKUP = r"""list_transform(regexp_extract_all(regexp_replace(regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->', '<!>', 'g'), '(?s)(<(?:script|style)[^>]*>).*?</(?:script|style)>', '\1', 'g'), '<[^>]*>|[^<]+'),
   lambda t: CASE WHEN regexp_matches(t, '^<[a-zA-Z]') THEN regexp_extract_all(t, '(?i)[\s"](?:href|src|cite|action|data|longdesc|poster)="([^"]*)"', 1) WHEN starts_with(t, '<') THEN CAST([] AS VARCHAR[])
-  ELSE [replace(replace(replace(replace(replace(t, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')] END)"""
+  ELSE [replace(replace(replace(replace(replace(replace(replace(t, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&#x27;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')] END)"""
 _PASSAGES = f"""passages AS (SELECT * FROM (SELECT 'documents/' || doc_id || '.txt' AS path, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS seq, unnest(string_split(text, chr(10))) AS text FROM documents
  UNION ALL SELECT path, generate_subscripts(parts, 1) - 1, unnest(parts) FROM (SELECT 'pages/' || page_id || '.html' AS path, [url] || flatten({_MARKUP}) AS parts FROM pages)
  UNION ALL SELECT 'conversations/' || conv_id, turn, text FROM conversations) WHERE text <> '')"""
@@ -270,9 +270,14 @@ def inventory_types(spark, d):
     return overview.inventory(files(spark, d))
 
 
-@query(f"WITH {_FILES} SELECT 'text' AS family, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM files")
+_ATTACHED = ("a.JPG", "b.mp3", "c.tar.gz", "d.pdf", "e.eml", "f.webm", "g.csv", "h.xyz", "i")
+
+
+@query(f"WITH f AS (SELECT [{_list(_ATTACHED)}][1 + o_orderkey % 9] AS name, CAST(o_orderkey AS BIGINT) AS size FROM orders) SELECT CASE name WHEN 'a.JPG' THEN 'image' WHEN 'b.mp3' THEN 'audio' WHEN 'c.tar.gz' THEN 'archive' WHEN 'd.pdf' THEN 'document' WHEN 'e.eml' THEN 'mail' WHEN 'f.webm' THEN 'video' WHEN 'g.csv' THEN 'text' ELSE 'other' END AS family, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM f GROUP BY 1")
 def inventory_families(spark, d):
-    return overview.families(files(spark, d))
+    """Families of what orders have attached, by suffix."""
+    name = F.get(F.array(*[F.lit(x) for x in _ATTACHED]), (F.col("o_orderkey") % 9).cast("int"))
+    return overview.families(table(spark, d, "orders").select(name.alias("path"), F.col("o_orderkey").alias("size")))
 
 
 @query(f"WITH {_EVIDENCE}, e AS (SELECT path, bool_or({_CATEGORY} = 'origin') AS o, bool_or({_CATEGORY} = 'metadata') AS m, bool_or({_CATEGORY} = 'activity') AS a, bool_or(at IS NOT NULL) AS t FROM evidence GROUP BY path) SELECT 'origin' AS tally, count(*) FILTER (WHERE o) AS files FROM e UNION ALL SELECT 'metadata', count(*) FILTER (WHERE m) FROM e UNION ALL SELECT 'activity', count(*) FILTER (WHERE a) FROM e UNION ALL SELECT 'dated', count(*) FILTER (WHERE t) FROM e")

@@ -275,6 +275,16 @@ def pdf_pages(data: bytes) -> Iterator[Passage]:
         yield f"page {k}", _shown(b"\n".join(_body(objects.get(i, b"")) for i in ref(raw, b"Contents")), fonts)
 
 
+def pdf_attachments(data: bytes) -> Iterator[tuple[str, bytes]]:
+    """(name, content) of the files that a PDF carries."""
+    objects = {int(m[1]): m[2] for m in _OBJECT.finditer(data)}
+    for raw in objects.values():
+        at = re.search(rb"/EF\s*<<[^>]*?/U?F\s+(\d+)\s+\d+\s+R", raw)
+        if at and (body := objects.get(int(at[1]))) is not None:
+            name = re.search(rb"/UF\s*\(((?:\\.|[^\\)])*+)\)", raw) or re.search(rb"/F\s*\(((?:\\.|[^\\)])*+)\)", raw)
+            yield (pdf_text(name[1]) if name else "attachment"), _body(body)
+
+
 # Suffixes of texts by the way they are read.
 TEXT = frozenset("txt md log json yaml yml ini cfg conf toml sql py js ts sh xml rst tex srt vtt ics vcf".split())
 READERS = {

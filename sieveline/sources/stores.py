@@ -348,6 +348,18 @@ def members(data: bytes, path: str = "") -> Iterator[tuple[str, int, str | None,
             yield re.sub(r"\.(?:gz|bz2|xz)$", "", path.rpartition("/")[2]), len(body), None, body
 
 
+def packager(raw: bytes) -> tuple[str, bytes] | None:
+    """Name and content of an object that was packed into a document: sizes, a label, two paths, the bytes."""
+    label, _, rest = raw[6:].partition(b"\0")
+    _, _, rest = rest.partition(b"\0")
+    if len(rest) < 8:
+        return None
+    skip = 8 + int.from_bytes(rest[4:8], "little")
+    size = int.from_bytes(rest[skip : skip + 4], "little")
+    body = rest[skip + 4 : skip + 4 + size]
+    return (re.split(r"[\\/]", label.decode("cp1252", "replace"))[-1], body) if len(body) == size else None
+
+
 def children(data: bytes, path: str = "") -> Iterator[tuple[str, bytes]]:
     """(name, content) of the files that a mail, a compound message or a package carries; names that repeat are numbered."""
     low, found = path.lower(), []
@@ -358,6 +370,10 @@ def children(data: bytes, path: str = "") -> Iterator[tuple[str, bytes]]:
         for base in sorted({k.rpartition("/")[0] for k in streams if k.startswith("__attach_version1.0_")}):
             name = next((streams[f"{base}/{s}"].decode("utf-16-le", "replace").strip("\0") for s in ("__substg1.0_3707001F", "__substg1.0_3704001F") if f"{base}/{s}" in streams), None)
             found.append((name, streams.get(f"{base}/__substg1.0_37010102", b"")))
+    elif low.endswith(".pdf"):
+        found = list(documents.pdf_attachments(data))
+    elif low.endswith((".doc", ".xls", ".ppt")):
+        found = [packed for k, raw in sorted(cfb_streams(data).items()) if k.endswith("\x01Ole10Native") and (packed := packager(raw))]
     elif low.endswith((".docx", ".xlsx", ".pptx", ".docm", ".xlsm", ".pptm")):
         found = [(n, b) for n, _, _, b in members(data, path) if "/embeddings/" in n or "/media/" in n]
     taken: set[str] = set()
@@ -461,4 +477,4 @@ def archive_members(files: DataFrame) -> DataFrame:
 
 def carried_files(files: DataFrame) -> DataFrame:
     """The same of what mails, messages and packages carry."""
-    return files.where(F.col("path").rlike(r"(?i)\.(?:eml|msg|docx|xlsx|pptx|docm|xlsm|pptm)$")).select("path", "content").mapInArrow(functools.partial(_members, True), _MEMBERS)
+    return files.where(F.col("path").rlike(r"(?i)\.(?:eml|msg|pdf|doc|xls|ppt|docx|xlsx|pptx|docm|xlsm|pptm)$")).select("path", "content").mapInArrow(functools.partial(_members, True), _MEMBERS)

@@ -162,6 +162,13 @@ def test_archives_and_what_files_carry(spark):
     assert {r["path"] for r in D.passages(texts).select("path").distinct().collect()} == {f"/t/a.{s}" for s in TEXTS}
 
 
+def test_attachments_of_pdf_and_packed_objects():
+    pdf = b"%PDF-1.4\n1 0 obj << /Type /Filespec /F (a.txt) /EF << /F 2 0 R >> >> endobj\n2 0 obj << /Type /EmbeddedFile /Filter /FlateDecode >> stream\n" + zlib.compress(b"inside") + b"\nendstream endobj\n"
+    assert list(S.children(pdf, "/x.pdf")) == [("a.txt", b"inside")] and list(S.children(b"no", "/x.pdf")) == []
+    body = struct.pack("<IH", 0, 2) + b"C:\\d\\tool.exe\0C:\\d\\tool.exe\0" + struct.pack("<II", 3, 4) + b"tmp\0" + struct.pack("<I", 5) + b"bytes"
+    assert S.packager(body) == ("tool.exe", b"bytes") and S.packager(body[:-1]) is None and S.packager(b"") is None and list(S.children(b"no", "/x.doc")) == []
+
+
 def test_messenger_names(spark):
     names = ["IMG-20240115-WA0001.jpg", "IMG-20241315-WA0001.jpg", "photo_2024-01-15_10-11-12.jpg", "holiday.jpg"]
     got = {r["n"]: r["m"] for r in spark.createDataFrame([(n,) for n in names], "n string").select("n", S.messenger(F.col("n")).alias("m")).collect()}
