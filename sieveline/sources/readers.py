@@ -1093,7 +1093,7 @@ def read(suffix: str, data: bytes) -> list[Record]:
             out += c2pa(data)
         except (struct.error, IndexError, ValueError, KeyError, TypeError, AttributeError, OverflowError, RecursionError):
             out = []
-    for reader in READERS.get(suffix.lower().lstrip("."), ()):
+    for reader in (*READERS.get(suffix.lower().lstrip("."), ()), *_more(suffix.lower().lstrip("."))):
         try:
             out += reader(data)
         except (struct.error, IndexError, ValueError, KeyError, UnicodeError, OverflowError, RecursionError):
@@ -1101,6 +1101,15 @@ def read(suffix: str, data: bytes) -> list[Record]:
     return out
 
 
+@functools.lru_cache(256)
+def _more(suffix: str) -> tuple[Callable[[bytes], list[Record]], ...]:
+    """Readers that build on those of this module."""
+    from .devices import maker_notes, telemetry
+
+    readers = READERS.get(suffix, ())
+    return ((maker_notes,) if exif in readers else ()) + ((telemetry,) if isobmff in readers else ())
+
+
 _SCHEMA = "path string, seq long, source string, block string, tool string, at string, geo string, location string, note string, fields map<string,string>"
 _TEXTS = ("source", "block", "tool", "at", "geo", "location", "note")
 

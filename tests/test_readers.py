@@ -312,3 +312,45 @@ def test_formats_by_registry(spark):
 
     for seq, yes, no in (("41??43", b"AxC", b"AC"), ("41{2-3}42", b"AxxB", b"AxB"), ("41*42", b"A...B", b"B.A"), ("[41:43]5A", b"BZ", b"DZ"), ("[!41]5A", b"BZ", b"AZ"), ("'GIF'(38|39)", b"GIF9", b"GIF7")):
         assert re.search(S.pattern(seq), yes) and not re.search(S.pattern(seq), no), seq
+
+
+def noted(make, note):
+    """A TIFF with a camera and a maker note."""
+    name = make.encode() + b"\0"
+    at = 8 + 2 + 24 + 4
+    sub = at + len(name)
+    place = sub + 2 + 12 + 4
+    body = note(place)
+    return b"II*\0" + struct.pack("<IH", 8, 2) + struct.pack("<HHII", 0x10F, 2, len(name), at) + struct.pack("<HHII", 0x8769, 4, 1, sub) + b"\0\0\0\0" + name + struct.pack("<H", 1) + struct.pack("<HHII", 0x927C, 7, len(body), place) + b"\0\0\0\0" + body
+
+
+def test_maker_notes():
+    entry = lambda order, tag, text, at: struct.pack(order + "H", 1) + struct.pack(order + "HHII", tag, 2, len(text), at) + b"\0\0\0\0" + text
+    cases = {
+        "Canon": (lambda p: entry("<", 9, b"Owner Ann\0", p + 18), "Canon:OwnerName", "Owner Ann"),
+        "NIKON": (lambda p: b"Nikon\0\2\0\0\0" + b"MM\0*" + struct.pack(">I", 8) + entry(">", 0x1D, b"SN-12345\0", 26), "Nikon:SerialNumber", "SN-12345"),
+        "FUJIFILM": (lambda p: b"FUJIFILM" + struct.pack("<I", 12) + entry("<", 0x10, b"FF-12345\0", 30), "Fujifilm:InternalSerialNumber", "FF-12345"),
+        "Apple": (lambda p: b"Apple iOS\0\0\1MM" + entry(">", 0x11, b"UUID-1234\0", 32), "Apple:ContentIdentifier", "UUID-1234"),
+        "SONY": (lambda p: b"SONY DSC \0\0\0" + entry("<", 0xB020, b"Vivid...\0", p + 30), "Sony:CreativeStyle", "Vivid..."),
+    }
+    for make, (note, key, want) in cases.items():
+        tiff = noted(make, note)
+        r = next(r for r in R.read("jpg", b"\xff\xd8" + segment(0xE1, b"Exif\0\0" + tiff) + b"\xff\xda\0\2") if r["block"] == "maker-notes")
+        assert r["fields"][key] == want, (make, r)
+        for n in range(0, len(tiff), 7):
+            R.read("tif", tiff[:n])
+
+
+def test_telemetry():
+    klv = lambda key, kind, size, body: key + kind + bytes([size]) + struct.pack(">H", len(body) // size) + body + b"\0" * (-len(body) % 4)
+    fixes = b"".join(struct.pack(">5i", round(lat * 1e7), round(lon * 1e7), 0, 0, 0) for lat, lon in ((52.2297, 21.0122), (52.23, 21.02)))
+    inner = klv(b"STNM", b"c", 1, b"GPS") + klv(b"GPSU", b"U", 16, b"200102030405.000") + klv(b"SCAL", b"l", 4, struct.pack(">5i", 10**7, 10**7, 1, 1, 1)) + klv(b"GPS5", b"l", 20, fixes)
+    sample = klv(b"DEVC", b"\0", 1, klv(b"DVNM", b"c", 1, b"Camera 9") + klv(b"STRM", b"\0", 1, inner))
+    head = box(b"ftyp", b"isom\0\0\0\0")
+    at = len(head) + 8
+    table = box(b"stbl", box(b"stsd", b"\0" * 8 + struct.pack(">I4s", 8, b"gpmd")), box(b"stsz", struct.pack(">III", 0, 0, 1) + struct.pack(">I", len(sample))), box(b"stco", struct.pack(">III", 0, 1, at)), box(b"stsc", struct.pack(">IIIII", 0, 1, 1, 1, 1)))
+    data = head + box(b"mdat", sample) + box(b"moov", box(b"trak", box(b"mdia", box(b"minf", table))))
+    r = next(r for r in R.read("mp4", data) if r["block"] == "gpmf")
+    assert r["tool"] == "Camera 9" and r["geo"] == "52.22970,21.01220" and r["at"] == "2020-01-02T03:04:05Z" and r["fields"]["GPMF:GPSPoints"] == "2" and r["fields"]["GPMF:GPSLast"] == "52.23000,21.02000" and r["fields"]["GPMF:Streams"] == "GPS"
+    for n in range(0, len(data), 5):
+        R.read("mp4", data[:n])
