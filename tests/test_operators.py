@@ -72,7 +72,7 @@ def test_misnamed(spark, tmp_path):
     (tmp_path / "b.pdf").write_bytes(b"\x89PNG\r\n\x1a\n")
     (tmp_path / "c.txt").write_bytes(b"plain")
     got = tables.misnamed(tables.folder(spark, str(tmp_path))).collect()
-    assert [(r["suffix"], r["format"]) for r in got] == [("pdf", "png")]
+    assert [(r["suffix"], r["format"]) for r in got] == [("pdf", "PNG")]
 
 
 def test_stream_of_mentions(spark, tmp_path):
