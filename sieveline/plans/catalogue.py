@@ -41,7 +41,7 @@ _FILES = """files AS (SELECT 'documents/' || doc_id || '.txt' AS path, doc_id ||
 _MARKUP = r"""list_transform(regexp_extract_all(regexp_replace(regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->', '<!>', 'g'), '(?s)(<(?:script|style)[^>]*>).*?</(?:script|style)>', '\1', 'g'), '<[^>]*>|[^<]+'),
   lambda t: CASE WHEN regexp_matches(t, '^<[a-zA-Z]') THEN regexp_extract_all(t, '(?i)[\s"](?:href|src|cite|action|data|longdesc|poster)="([^"]*)"', 1) WHEN starts_with(t, '<') THEN CAST([] AS VARCHAR[])
   ELSE [replace(replace(replace(replace(replace(replace(replace(t, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&#x27;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')] END)"""
-_PASSAGES = f"""passages AS (SELECT * FROM (SELECT 'documents/' || doc_id || '.txt' AS path, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS seq, unnest(string_split(text, chr(10))) AS text FROM documents
+_PASSAGES = f"""passages AS (SELECT path, CAST(seq AS INTEGER) AS seq, text FROM (SELECT 'documents/' || doc_id || '.txt' AS path, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS seq, unnest(string_split(text, chr(10))) AS text FROM documents
  UNION ALL SELECT path, generate_subscripts(parts, 1) - 1, unnest(parts) FROM (SELECT 'pages/' || page_id || '.html' AS path, [url] || flatten({_MARKUP}) AS parts FROM pages)
  UNION ALL SELECT 'conversations/' || conv_id, turn, text FROM conversations) WHERE text <> '')"""
 _EVIDENCE = "evidence AS (SELECT 'user/' || user_id AS path, event_id AS seq, CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in EVENTS.items()) + " END AS source, ts AS at, value FROM events)"
