@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import moments as M
-from ..functions import normalize as N
 from ..functions import vocabulary as V
 from .correlate import origin_states
 

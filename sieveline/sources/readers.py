@@ -505,10 +505,6 @@ def exif(data: bytes) -> list[Record]:
     return record("exif", fields, source, tool=tool, at=moment(str(tags.get("DateTimeOriginal") or tags.get("DateTime") or "")), geo=position(tags)) if fields else []
 
 
-# Resources of Photoshop by number.
-IRB = {0x03ED: "Resolution", 0x0404: "IPTC", 0x040A: "CopyrightFlag", 0x040B: "URL", 0x0421: "VersionInfo", 0x0425: "CaptionDigest"}
-
-
 def resources(data: bytes) -> Iterator[tuple[int, str, bytes]]:
     """(number, name, payload) of image resource blocks."""
     at = 0

@@ -113,14 +113,6 @@ PDF = (
 )
 
 
-def packed(**members):
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as z:
-        for name, text in members.items():
-            z.writestr(name.replace("__", "/").replace("_dot_", "."), text)
-    return out.getvalue()
-
-
 def zipped(members):
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
