@@ -180,6 +180,11 @@ def test_urls_of_one_zone_get_both_verdicts(spark):
     assert sum(got[i] == ("allow" if i % 2 else "block") for i in got) >= 190
 
 
+def test_url_filters_have_no_python(spark):
+    plan = queries.op3_url_filters(spark, SF)._jdf.queryExecution().toString()
+    assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
 def test_urls_of_odd_tables(spark):
     same = "http://spam.example.io/a"
     data = [(i, same, "x", "y") for i in range(300)] + [(300, "http://good.example.org/fr/x", "x", "y"), (301, "http://h/" + "a/" * 50000, "x", "y"), (None, None, "x", "y")]
@@ -617,8 +622,16 @@ def test_pipeline(spark):
         assert stage(spark, empty(spark).select(*p.COLUMNS), SF).count() == 0
 
 
+COLUMNS = {
+    "op2": "query_id rank vec_id score", "op3": "page_id host path rule verdict", "op4": "doc_id n_tokens ids_sha256 decoded_sha256", "op5": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
+    "op6": "doc_id size source_size target taken", "op7": "page_id url text n_chars", "op8": "doc_id class_id", "op9": "doc_id held_out lang_pred score", "op10": "doc_id n_assign n_access n_hex base_sha256 spans", "op1": "doc_id source text n_dropped",
+}
+
+
 def test_queries_have_columns(spark):
-    assert {re.match(r"op\d+_", n)[0] for n in queries.QUERIES} == {f"op{i}_" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES} == set(COLUMNS)
+    for name, query in queries.QUERIES.items():
+        assert set(COLUMNS[name.split("_")[0]].split()) <= set(query(spark, SF).columns), name
 
 
 def test_verify_compares_each_text_of_a_repeated_id():
