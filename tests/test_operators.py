@@ -146,3 +146,27 @@ def test_passages_of_pages_and_conversations(spark):
     turns = tables.table(spark, SF, "conversations").where("text <> ''").count()
     assert sum(r["path"].startswith("conversations/") for r in p) == turns > 0
     assert any(r["path"].startswith("pages/") and r["seq"] > 0 for r in p)
+
+
+def written(spark, tmp_path, htmls: list) -> tuple[str, duckdb.DuckDBPyConnection]:
+    """A folder of tables with these pages and no other texts, and a connection to it."""
+    none = {"documents": "doc_id long, text string", "conversations": "conv_id long, turn long, text string"}
+    for name, kind in none.items():
+        spark.createDataFrame([], kind).write.parquet(f"{tmp_path}/{name}.parquet")
+    spark.createDataFrame([(i, f"https://w.example.com/{i}", h) for i, h in enumerate(htmls)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    for name in (*none, "pages"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    return str(tmp_path), con
+
+
+def same_as_sql(spark, at: tuple, name: str) -> pd.DataFrame:
+    got, want = catalogue.QUERIES[name](spark, at[0]).toPandas(), at[1].sql(catalogue.SQL[name]).df()
+    assert rows(got) == rows(want)
+    return got
+
+
+def test_page_passages_reach_the_end_of_long_pages(spark, tmp_path):
+    long = "<html><body>" + f"<p>{'long text ' * 40}</p>" * 4000 + "<p>the end</p></body></html>"
+    got = same_as_sql(spark, written(spark, tmp_path, [long, f"<p>{'x' * (1 << 21)}</p><p>y</p>", "<p>a<![if x]>b</p><![foo[ x ]]>c<p>d</p>", None]), "page_passages")
+    assert got.groupby("path")["text"].agg(["count", lambda x: x.str.len().sum()]).values.tolist() == [[4001, 1_600_007], [2, (1 << 21) + 1], [4, 4]]
