@@ -24,10 +24,10 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part("documents", "doc_id", "text", ".txt").unionByName(part("pages", "page_id", "html", ".html"))
 
 
-def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """path, seq and text of every line of every document, of url, texts and links of every page, and of every turn of a conversation."""
+def passages(spark: SparkSession, sf_dir: str, cut: bool = False) -> DataFrame:
+    """path, seq and text of every line of every document, of url, texts and links of every page, and of every turn of a conversation. cut: as markup.passages() says."""
     docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("documents/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.posexplode(F.split("text", "\n")).alias("seq", "text"))
-    pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.posexplode(F.concat(F.array("url"), markup.passages(F.col("html")))).alias("seq", "text"))
+    pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.posexplode(F.concat(F.array("url"), markup.passages(F.col("html"), cut))).alias("seq", "text"))
     turns = table(spark, sf_dir, "conversations").select(F.concat(F.lit("conversations/"), F.col("conv_id").cast("string")).alias("path"), F.col("turn").cast("int").alias("seq"), "text")
     return docs.unionByName(pages).unionByName(turns).where("text <> ''")
 

@@ -179,3 +179,8 @@ CUT = [f"<title>{t[:n]}</title><p>{t[:n]}</p><p>{t}.</p>" for t in ("Tom &amp; &
 def test_page_passages_of_cut_titles(spark, tmp_path):
     got = same_as_sql(spark, written(spark, tmp_path, CUT), "page_passages")
     assert {"Tom &am", "Tom &amp", "Tom &", "1 · 2 &gt", "a &copyx &amp b &ampc; &#x27 d &lt; & e"} <= set(got["text"])
+
+
+def test_passage_budget_of_cut_titles(spark, tmp_path):
+    got = same_as_sql(spark, written(spark, tmp_path, [*CUT, f"<title>{'x' * 1980} &amp</title><p>{'y' * 30}</p>"]), "passage_budget")
+    assert {"Tom &am", "Tom &amp", "Tom &", "1 · 2 &gt", "a &copyx &amp b &ampc; &#x27 d &lt; & e"} <= set(got["text"])
