@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import functools
 
 from pyspark.sql import Column
@@ -67,8 +69,22 @@ def tlds() -> tuple[str, ...]:
     return _known(SparkSession.active().conf.get(TLD_FILE, None))
 
 
+_ANY_COUNTRY = contextvars.ContextVar("_ANY_COUNTRY", default=False)
+
+
+@contextlib.contextmanager
+def any_country():
+    """Plans that are made in here take any two letters for the top-level name of a country."""
+    before = _ANY_COUNTRY.set(True)
+    try:
+        yield
+    finally:
+        _ANY_COUNTRY.reset(before)
+
+
 def is_tld(name: Column) -> Column:
-    return name.isin(*tlds())
+    known = name.isin(*tlds())
+    return known | name.rlike("^[a-z]{2}$") if _ANY_COUNTRY.get() else known
 
 
 def domain(host: Column) -> Column:

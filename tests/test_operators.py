@@ -184,3 +184,29 @@ def test_page_passages_of_cut_titles(spark, tmp_path):
 def test_passage_budget_of_cut_titles(spark, tmp_path):
     got = same_as_sql(spark, written(spark, tmp_path, [*CUT, f"<title>{'x' * 1980} &amp</title><p>{'y' * 30}</p>"]), "passage_budget")
     assert {"Tom &am", "Tom &amp", "Tom &", "1 · 2 &gt", "a &copyx &amp b &ampc; &#x27 d &lt; & e"} <= set(got["text"])
+
+
+#: Addresses that the end of a title cuts anywhere: .ex is no country's.
+CUT_MAILS = [f"<title>To kim.{n}{'@mail4.example.com'[:n]}</title><p>kim.{n}{'@mail4.example.com'[:n]} and lee@web.zz, twice lee@web.zz</p><h1>kim@mail1.example.com</h1>" for n in range(19)]
+
+
+@pytest.fixture(scope="session")
+def cut_mails(spark, tmp_path_factory):
+    return written(spark, tmp_path_factory.mktemp("cut"), CUT_MAILS)
+
+
+def test_registered_names_outside_of_the_queries(spark):
+    from sieveline.functions import normalize as N
+
+    hosts = spark.createDataFrame([("mail4.ex",), ("mail4.eu",)], "h string")
+    with N.any_country():
+        loose = hosts.select(N.domain(F.col("h")))
+    assert [r[0] for r in loose.collect()] == ["mail4.ex", "mail4.eu"]
+    assert [r[0] for r in hosts.select(N.domain(F.col("h"))).collect()] == [None, "mail4.eu"]
+
+
+@pytest.mark.parametrize("name", ["pivot_email"])
+def test_cut_addresses(spark, cut_mails, name):
+    """What the queries of addresses give where .ex is left of .example, as their SQL."""
+    got = same_as_sql(spark, cut_mails, name)
+    assert got.astype(str).apply(lambda r: r.str.contains(r"@(?:mail4\.ex|web\.zz)$").any(), axis=1).any() or name in ("pivots_by_type", "dense_files")
