@@ -205,7 +205,7 @@ def test_registered_names_outside_of_the_queries(spark):
     assert [r[0] for r in hosts.select(N.domain(F.col("h"))).collect()] == [None, "mail4.eu"]
 
 
-@pytest.mark.parametrize("name", ["pivot_email", "dense_files", "digests_of_emails", "has_identifier", "identifier_places", "identifiers_ordered", "pivots_by_type", "graph_edges"])
+@pytest.mark.parametrize("name", ["pivot_email", "dense_files", "digests_of_emails", "has_identifier", "identifier_places", "identifiers_ordered", "pivots_by_type", "graph_edges", "graph_nodes"])
 def test_cut_addresses(spark, cut_mails, name):
     """What the queries of addresses give where .ex is left of .example, as their SQL."""
     got = same_as_sql(spark, cut_mails, name)
