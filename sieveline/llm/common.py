@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import ctypes
 import functools
-import tempfile
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut, use_checkpoints  # noqa: F401
+
 #: Separator class of the word contracts: space and \x09-\x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Tables that are sent to all executors are measured first and have at most so many MB.
@@ -20,23 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def use_checkpoints(spark: SparkSession) -> None:
-    """Make checkpoint() usable. The folder is the cluster's spark.checkpoint.dir; only where that is unset
-    and the master is local, a temporary one is made: executors of a cluster would not see it."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if not shared and not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="sieveline-"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write a DataFrame to the shared checkpoint folder, so that a lost executor costs no recomputation behind it."""
-    use_checkpoints(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def numbered(df: DataFrame) -> list[Column]:
     """All columns of a table under names of their own (c0, c1, ...), so that none meets a name of the operator; back by named()."""
     return [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)]

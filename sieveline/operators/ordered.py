@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def running(rows: DataFrame, order: list[Column], value: Column | None = None, parts: int | None = None) -> DataFrame:
     """rows with place (from 1 on, in the order) and, of a value, before: its sum over all rows in front.
 
     Rows are dealt out by ranges of the order; each range is numbered on its own and shifted by what the ranges before it
-    hold, which is one short row for each range. Rows that are equal in the order may come in any order.
+    hold, which is one short row for each range. Rows that are equal in the order may come in any order. Spark draws the
+    bounds of ranges from a sample, another one each time it runs; so the dealt rows are written once, for all that read them.
     """
     session = rows.sparkSession
     n = parts or int(session.conf.get("spark.sql.shuffle.partitions"))
     own = rows.withColumn("__v", F.coalesce(value, F.lit(0)) if value is not None else F.lit(0))
-    dealt = own.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id())
+    dealt = cut(own.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()))
     w = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     numbered = dealt.withColumns({"__at": F.count(F.lit(1)).over(w), "__sum": F.coalesce(F.sum("__v").over(w), F.lit(0))})
     sizes = numbered.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"), F.sum("__v").alias("__s"))

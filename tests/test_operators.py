@@ -210,3 +210,14 @@ def test_cut_addresses(spark, cut_mails, name):
     """What the queries of addresses give where .ex is left of .example, as their SQL."""
     got = same_as_sql(spark, cut_mails, name)
     assert got.astype(str).apply(lambda r: r.str.contains(r"@(?:mail4\.ex|web\.zz)$").any(), axis=1).any() or name in ("pivots_by_type", "dense_files")
+
+
+def test_running_numbers_of_more_rows_than_a_sample(spark):
+    """Bounds that Spark draws anew for each reader of the ranges would shift the numbers against each other."""
+    from sieveline.operators import ordered
+
+    rows_ = spark.range(200_000).select((F.xxhash64("id") % 1_000_000).alias("k"), "id").groupBy("k", "id").agg(F.count("*").alias("n"), F.max("id").alias("top"))
+    got = ordered.running(rows_, [F.desc("k"), F.col("id").asc()], F.col("n"), parts=16)
+    first = got.groupBy(F.col("k") % 2).agg(F.min("place").alias("first")).agg(F.min("first")).first()[0]
+    w = got.select("k", "id", "place", "before", "top").toPandas().sort_values(["k", "id"], ascending=[False, True])
+    assert first == 1 and w["place"].tolist() == list(range(1, 200_001)) and (w["before"] == w["place"] - 1).all() and (w["top"] == w["id"]).all()
